@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from rowloom.llm import quality_rules
+from rowloom.llm import bpe, chat, quality_rules
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op8_chat": chat.op8_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op8_chat": chat.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
