@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from rowloom.llm import bpe, chat, quality_rules
+from rowloom.llm import bpe, chat, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
