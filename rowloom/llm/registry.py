@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from rowloom.llm import bpe, chat, quality_rules, toxicity
+from rowloom.llm import bpe, chat, langid, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_quality_model": quality_model.op3_quality_model,
+    "op6_langid": langid.op6_langid,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
     "op10_quality_rules": quality_rules.op10_quality_rules,
