@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import SPACES, small, stored, table, text_or_empty
+from rowloom.llm.sliding import gram_hashes
 
 MIN_WORDS = 10
 #: Percent of the words that may stand in repeated windows.
@@ -30,18 +31,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
-def gram_hashes(hashes: Column, k: int) -> Column:
-    """Hash of each run of k elements of an array of hashes; shorter arrays give an empty array.
-    Runs double in length, so it takes about log2(k) passes."""
-    out, have, n = hashes, 1, F.size(hashes)
-    while have < k:
-        step = min(have, k - have)
-        keep = F.greatest(n - have - step + 1, F.lit(0))
-        out = F.zip_with(F.slice(out, 1, keep), F.slice(out, step + 1, keep), lambda a, b: F.xxhash64(a, b))
-        have += step
-    return out
-
-
 def covered(starts: Column, width: int) -> Column:
     """Positions that windows of this width cover, given their sorted starts."""
     gaps = F.zip_with(starts, F.slice(starts, 2, F.size(starts)), lambda a, b: F.least(F.lit(width), F.coalesce(b - a, F.lit(width))))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rowloom.llm import bpe, chat, langid, quality_model, quality_rules, toxicity
+from rowloom.llm import bpe, chat, decontaminate, langid, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_quality_model": quality_model.op3_quality_model,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_langid": langid.op6_langid,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_decontaminate": decontaminate.ORACLE,
     "op8_chat": chat.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
