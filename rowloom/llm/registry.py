@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.llm import bpe, chat, decontaminate, langid, quality_model, quality_rules, toxicity
+from rowloom.llm import bpe, chat, decontaminate, langid, neardup, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_langid": langid.op6_langid,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_chat": chat.op8_chat,
+    "op9_neardup": neardup.op9_neardup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
