@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rowloom.llm import bpe, chat, decontaminate, langid, neardup, quality_model, quality_rules, toxicity
+from rowloom.llm import bpe, chat, decontaminate, langid, licenses, neardup, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_quality_model": quality_model.op3_quality_model,
+    "op4_licenses": licenses.op4_licenses,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_langid": langid.op6_langid,
     "op7_toxicity": toxicity.op7_toxicity,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_licenses": licenses.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_chat": chat.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
