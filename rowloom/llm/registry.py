@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from rowloom.llm import bpe, chat, decontaminate, langid, licenses, neardup, quality_model, quality_rules, toxicity
+import corpus_pipeline
+from rowloom.llm import bpe, chat, decontaminate, htmltext, langid, licenses, neardup, quality_model, quality_rules, toxicity
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_quality_model": quality_model.op3_quality_model,
+    "op2_html": htmltext.op2_html,
     "op4_licenses": licenses.op4_licenses,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_langid": langid.op6_langid,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_neardup": neardup.op9_neardup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
