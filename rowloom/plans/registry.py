@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "rows_flagship"
+from rowloom.plans import q_scalar, q_aggregate, q_sequence  # noqa: F401, I001
+from rowloom.plans.catalog import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "row_failures"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
