@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rowloom.plans import q_aggregate, q_join, q_scalar, q_sequence  # noqa: F401, I001
+from rowloom.plans import q_aggregate, q_join, q_raster, q_scalar, q_sequence  # noqa: F401, I001
 from rowloom.plans.catalog import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "row_failures"
