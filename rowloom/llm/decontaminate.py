@@ -31,7 +31,8 @@ SPAN = K + WINDOW - 1
 #: Rows of the benchmark's fingerprints, and of matched documents, that are broadcast at most.
 BROADCAST_ROWS = 500_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-NO_MATCH = F.lit(-(1 << 63)).cast("long")
+#: Stands for the document itself among its fingerprints.
+OWN_ROW = -(1 << 63)
 
 
 def words(text: Column) -> Column:
@@ -87,9 +88,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = keyed(docs).withColumn("w", words(F.col("t")))
     rows = rows.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
     # A row for the document itself, and one for each fingerprint; only those that match go on.
-    each = rows.select("d", "k", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(F.array(NO_MATCH), fingerprints(F.col("h"), short))).alias("fp"))
-    each = each.join(fps.select("fp", F.lit(True).alias("hit")), "fp", "left").where(F.col("hit") | (F.col("fp") == NO_MATCH))
-    documents = each.groupBy("d", "k", "doc_id").agg(F.max("n_words").alias("n_words"), F.sum((F.col("fp") == NO_MATCH).cast("long")).alias("n_rows"), F.count("hit").alias("n_seeds"))
+    each = rows.select("d", "k", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(F.array(F.lit(OWN_ROW)), fingerprints(F.col("h"), short))).alias("fp"))
+    each = each.join(fps.select("fp", F.lit(True).alias("hit")), "fp", "left").where(F.col("hit") | (F.col("fp") == OWN_ROW))
+    documents = each.groupBy("d", "k", "doc_id").agg(F.max("n_words").alias("n_words"), F.sum((F.col("fp") == OWN_ROW).cast("long")).alias("n_rows"), F.count("hit").alias("n_seeds"))
     documents = stored(documents, "fingerprinted")
     matched, _ = small(documents.where("n_seeds > 0").select("d", "k"), BROADCAST_ROWS)
     again = keyed(docs).join(matched, ["d", "k"], "left_semi").dropDuplicates(["d", "k"]) if _repeats(documents) else keyed(docs).join(matched, ["d", "k"], "left_semi")

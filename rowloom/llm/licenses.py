@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import small, stored, table
-from rowloom.llm.decontaminate import BROADCAST_ROWS, NO_MATCH, keyed, words
+from rowloom.llm.decontaminate import BROADCAST_ROWS, OWN_ROW, keyed, words
 from rowloom.llm.sliding import gram_hashes, sliding
 
 GRAM, WINDOW, BANDS, CONTAINED = 3, 3, 3, 0.8
@@ -69,9 +69,9 @@ def scan(docs: DataFrame, licenses: DataFrame, contained: float = CONTAINED) ->
     keys = known.withColumn("band", F.explode(F.coalesce(*[F.when(F.col("window") == v, bands(F.col("g"), v)) for v in windows], F.array().cast("array<long>")))).select("band", "template")
     keys, _ = small(stored(keys.distinct(), "bands"), BROADCAST_ROWS)
     rows = keyed(docs).withColumn("g", grams(F.col("t")))
-    found = F.concat(F.array(NO_MATCH), *[bands(F.col("g"), v) for v in windows])
-    each = rows.select("d", "k", "doc_id", F.explode(found).alias("band")).join(keys, "band", "left").where(F.col("template").isNotNull() | (F.col("band") == NO_MATCH))
-    seen = each.groupBy("d", "k", "doc_id", "template").agg(F.sum((F.col("band") == NO_MATCH).cast("long")).alias("n_rows"))
+    found = F.concat(F.array(F.lit(OWN_ROW)), *[bands(F.col("g"), v) for v in windows])
+    each = rows.select("d", "k", "doc_id", F.explode(found).alias("band")).join(keys, "band", "left").where(F.col("template").isNotNull() | (F.col("band") == OWN_ROW))
+    seen = each.groupBy("d", "k", "doc_id", "template").agg(F.sum((F.col("band") == OWN_ROW).cast("long")).alias("n_rows"))
     seen = stored(seen, "retrieved")
     documents = seen.where("template is null").select("d", "k", "doc_id", "n_rows")
     pairs = seen.where("template is not null").select("d", "k", "template")
