@@ -32,7 +32,7 @@ BUCKETS = 1 << 20
 GRAM = 5
 #: At least so many toxic texts have a kept bucket; so many buckets are kept at most.
 MIN_TEXTS, KEPT = 5, 50_000
-STEPS, RATE, RIDGE = 300, 0.3, 1e-4
+STEPS, RATE, RIDGE = 600, 0.5, 3e-6
 TOXIC = 0.5
 
 
