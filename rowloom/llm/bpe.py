@@ -30,8 +30,8 @@ from rowloom.llm.common import table, text_or_empty
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 #: Cells of one padded matrix, entries of the piece cache, characters of a text taken at once, bytes of a result batch.
-CELLS, CACHE, BLOCK, BATCH = 1 << 20, 200_000, 1 << 22, 8 << 20
-NONE = np.int64(1 << 40)
+CELLS, CACHE, BLOCK, BATCH = 1 << 19, 400_000, 1 << 22, 8 << 20
+NONE = np.int32(2**31 - 1)
 
 
 class PairTable:
@@ -40,7 +40,7 @@ class PairTable:
     def __init__(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray):
         bits = max(4, int(4 * len(rank)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int64)
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
         key, at, todo = self.key(left, right), None, np.arange(len(rank))
         at = self.slot(key)
         while len(todo):
@@ -82,40 +82,47 @@ class Bpe:
     def __init__(self, blob: bytes, pattern: str):
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line)}
         self.token = {i: t for t, i in self.rank.items()}
-        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
         pairs = [(a, b, r) for t, r in self.rank.items() for k in range(1, len(t)) if (a := self.rank.get(t[:k])) is not None and (b := self.rank.get(t[k:])) is not None]
         self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
         self.pieces = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
 
-    def merged_rows(self, rows: np.ndarray) -> list[np.ndarray]:
-        """Merges each row of a matrix of ids that is padded with -1 on the right."""
-        out: list[np.ndarray] = [None] * len(rows)  # type: ignore[list-item]
+    def merged_rows(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merges each row of a matrix of ids that is padded with -1 on the right: (ids, how many of each row)."""
+        out, count = np.zeros(rows.shape, "<u4"), np.zeros(len(rows), np.int64)
         where = np.arange(len(rows))
+
+        def end(which: np.ndarray, left: np.ndarray) -> None:
+            out[which, : left.shape[1]] = np.maximum(left, 0)
+            count[which] = (left >= 0).sum(1)
+
         ranks = self.pairs(rows[:, :-1].ravel(), rows[:, 1:].ravel()).reshape(len(rows), -1)
         while len(rows):
             if not ranks.shape[1]:
-                for i, row in zip(where, rows):
-                    out[i] = row[row >= 0]
+                end(where, rows)
                 break
             at = ranks.argmin(1)  # the leftmost of the least
-            least = np.take_along_axis(ranks, at[:, None], 1)[:, 0]
+            each = np.arange(len(rows))
+            least = ranks[each, at]
             if (done := least == NONE).any():
-                for i, row in zip(where[done], rows[done]):
-                    out[i] = row[row >= 0]
-                rows, ranks, where, at, least = (x[~done] for x in (rows, ranks, where, at, least))
+                end(where[done], rows[done])
+                on = ~done
+                rows, ranks, where, at, least = rows[on], ranks[on], where[on], at[on], least[on]
                 if not len(rows):
                     break
-            each = np.arange(len(rows))
+                # Padding that no row needs any more goes too.
+                width = int((rows >= 0).any(0).sum())
+                rows, ranks, each = rows[:, :width], ranks[:, : width - 1], each[: len(rows)]
             rows[each, at] = least
             cols = np.arange(rows.shape[1] - 1)
-            rows = np.take_along_axis(rows, cols + (cols > at[:, None]), 1)
+            rows = np.where(cols > at[:, None], rows[:, 1:], rows[:, :-1])
             cols = cols[:-1]
-            ranks = np.take_along_axis(ranks, cols + (cols > at[:, None]), 1)
+            ranks = np.where(cols > at[:, None], ranks[:, 1:], ranks[:, :-1])
             for k in (at - 1, at):  # the two pairs that have the merged token
                 ok = np.flatnonzero((k >= 0) & (k < ranks.shape[1]))
                 ranks[ok, k[ok]] = self.pairs(rows[ok, k[ok]], rows[ok, k[ok] + 1])
-        return out
+        return out, count
 
     def merged_long(self, ids: np.ndarray) -> np.ndarray:
         while len(ids) > 1:
@@ -137,25 +144,30 @@ class Bpe:
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct pieces, as little-endian unsigned 32-bit integers."""
-        out, by_length = {}, {}
-        for p in pieces:
-            b = p.encode()
-            if (i := self.rank.get(b)) is not None:
-                out[p] = i.to_bytes(4, "little")
-            else:
-                by_length.setdefault(min(LONG + 1, 1 << (len(b) - 1).bit_length()), []).append((p, b))
-        for width, found in by_length.items():
-            if width > LONG:
-                for p, b in found:
-                    out[p] = self.merged_long(self.byte[np.frombuffer(b, np.uint8)]).astype("<u4").tobytes()
+        pieces = list(pieces)
+        coded = [p.encode() for p in pieces]
+        whole = [self.rank.get(b) for b in coded]
+        out = {p: i.to_bytes(4, "little") for p, i in zip(pieces, whole) if i is not None}
+        todo = [k for k, i in enumerate(whole) if i is None]
+        length = np.fromiter((len(coded[k]) for k in todo), np.int64, len(todo))
+        bucket = np.minimum(np.ceil(np.log2(np.maximum(length, 1))).astype(np.int64), LONG.bit_length())
+        for e in np.unique(bucket):
+            own = np.flatnonzero(bucket == e)
+            if 1 << int(e) > LONG:
+                for k in own:
+                    p = todo[k]
+                    out[pieces[p]] = self.merged_long(self.byte[np.frombuffer(coded[p], np.uint8)]).astype("<u4").tobytes()
                 continue
-            for k in range(0, len(found), step := max(1, CELLS // width)):
-                part = found[k : k + step]
-                length = np.array([len(b) for _, b in part])
-                rows = np.full((len(part), length.max()), -1, np.int64)
-                rows[np.arange(rows.shape[1]) < length[:, None]] = self.byte[np.frombuffer(b"".join(b for _, b in part), np.uint8)]
-                for (p, _), ids in zip(part, self.merged_rows(rows)):
-                    out[p] = ids.astype("<u4").tobytes()
+            own = own[np.argsort(length[own], kind="stable")]
+            for j in range(0, len(own), step := max(1, CELLS >> int(e))):
+                part = own[j : j + step]
+                n = length[part]
+                rows = np.full((len(part), n.max()), -1, np.int32)
+                rows[np.arange(rows.shape[1]) < n[:, None]] = self.byte[np.frombuffer(b"".join([coded[todo[k]] for k in part]), np.uint8)]
+                ids, count = self.merged_rows(rows)
+                blob, width = ids.tobytes(), 4 * ids.shape[1]
+                for i, (k, c) in enumerate(zip(part.tolist(), (4 * count).tolist())):
+                    out[pieces[todo[k]]] = blob[i * width : i * width + c]
         return out
 
     def blocks(self, text: str) -> Iterator[list[str]]:
