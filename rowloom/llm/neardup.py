@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rowloom.llm import dartminhash
 from rowloom.llm.common import small, stored, table, text_or_empty
 from rowloom.llm.components import components
-from rowloom.llm.textnp import Bytes, groups, mix
+from rowloom.llm.textnp import groups, mix, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -46,16 +46,16 @@ _COEFFICIENTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9,
 
 def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, hash, times) of the distinct shingles of each text, sorted by owner and hash."""
-    b = Bytes(texts)
-    w, n = b.words(), np.bincount(b.doc, minlength=len(texts))
+    doc, w = word_hashes(texts)
+    n = np.bincount(doc, minlength=len(texts))
     end = np.cumsum(n)
     at = np.arange(len(w))
-    ok = (at + width <= end[b.doc]) | ((n[b.doc] < width) & (at == (end - n)[b.doc]))
+    ok = (at + width <= end[doc]) | ((n[doc] < width) & (at == (end - n)[doc]))
     h = np.zeros(len(w), np.uint64)
     for j in range(width):
         k = np.minimum(at + j, len(w) - 1)
-        h += np.where(at + j < end[b.doc], mix(w[k] + _COEFFICIENTS[j]) * _COEFFICIENTS[j], np.uint64(0))
-    owner, h = b.doc[ok], mix(h[ok])
+        h += np.where(at + j < end[doc], mix(w[k] + _COEFFICIENTS[j]) * _COEFFICIENTS[j], np.uint64(0))
+    owner, h = doc[ok], mix(h[ok])
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
     new = np.ones(len(h), bool)

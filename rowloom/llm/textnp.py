@@ -87,3 +87,31 @@ def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[st
         n += len(t)
     if part:
         yield at, part
+
+
+#: Characters of a text that are held as bytes, with their sums, at once.
+LONG = 1 << 21
+
+
+def pieces(text: str, ends: str = " \n\t", most: int | None = None) -> Iterator[str]:
+    """A long text in pieces of at most `most` characters that end after one of `ends`; where there is none for so long, the cut is hard."""
+    most, k = most or LONG, 0
+    while len(text) - k > most:
+        j = max(text.rfind(c, k, k + most) for c in ends) + 1
+        j = j if j > k else k + most
+        yield text[k:j]
+        k = j
+    yield text[k:]
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of all words in order; long texts piece by piece."""
+    if all(len(t) <= LONG for t in texts):
+        b = Bytes(texts)
+        return b.doc, b.words()
+    doc, out = [], []
+    for i, t in enumerate(texts):
+        for piece in pieces(t):
+            out.append(Bytes([piece]).words())
+            doc.append(np.full(len(out[-1]), i, np.int64))
+    return np.concatenate(doc), np.concatenate(out)

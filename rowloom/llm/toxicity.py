@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import remainder, table, text_or_empty
-from rowloom.llm.textnp import Bytes, groups
+from rowloom.llm.textnp import LONG, Bytes, groups, pieces
 from rowloom.llm.training import labelled
 
 SAMPLE = 20_000
@@ -47,15 +47,22 @@ def _texts(pdf: pd.DataFrame, column: str) -> list[str]:
     return ["" if t is None else t for t in pdf[column].tolist()]
 
 
+def _blocks(texts: list[str]) -> Iterator[tuple[int, int, list[list[str]]]]:
+    """(first, end, blocks): groups of texts, as one block of several texts or as the pieces of one long text."""
+    for first, part in groups(texts):
+        yield first, first + len(part), [[p] for p in pieces(part[0], ".!?\n")] if len(part) == 1 else [part]
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     seen = np.zeros((2, BUCKETS), np.int64)
     for pdf in batches:
         y = pdf["y"].to_numpy()
-        for first, part in groups(_texts(pdf, "text")):
-            b = Bytes(part)
-            at, bucket = features(b)
-            doc = np.searchsorted(b.begins, at, "right") - 1
-            once = np.unique(doc * BUCKETS + bucket)
+        for first, _, blocks in _blocks(_texts(pdf, "text")):
+            once = np.zeros(0, np.int64)
+            for part in blocks:
+                b = Bytes(part)
+                at, bucket = features(b)
+                once = np.unique(np.concatenate([once, (np.searchsorted(b.begins, at, "right") - 1) * BUCKETS + bucket]))
             doc, bucket = np.divmod(once, BUCKETS)
             for k in (0, 1):
                 seen[k] += np.bincount(bucket[y[first + doc] == k], minlength=BUCKETS)
@@ -68,17 +75,23 @@ def _bags(kept: np.ndarray):
         index = np.full(BUCKETS, -1, np.int64)
         index[kept] = np.arange(len(kept))
         for pdf in batches:
-            for first, part in groups(_texts(pdf, "text")):
-                b = Bytes(part)
-                at, bucket = features(b)
-                sentence = b.sentences()
-                own = index[bucket]
-                at, own = at[own >= 0], own[own >= 0]
-                doc = np.searchsorted(b.begins, at, "right") - 1
-                n = _sentences(b)
-                order = np.argsort(doc, kind="stable")
-                cut = np.searchsorted(doc[order], np.arange(len(part) + 1))
-                yield pd.DataFrame({"y": pdf["y"].to_numpy()[first : first + len(part)], "n": n, "s": [sentence[at[order[i:j]]].tolist() for i, j in zip(cut, cut[1:])], "f": [own[order[i:j]].tolist() for i, j in zip(cut, cut[1:])]})
+            for first, end, blocks in _blocks(_texts(pdf, "text")):
+                n, s, f, before = np.zeros(end - first, np.int64), [[] for _ in range(first, end)], [[] for _ in range(first, end)], 0
+                for part in blocks:
+                    b = Bytes(part)
+                    at, bucket = features(b)
+                    sentence = b.sentences()
+                    own = index[bucket]
+                    at, own = at[own >= 0], own[own >= 0]
+                    doc = np.searchsorted(b.begins, at, "right") - 1
+                    n += _sentences(b)
+                    order = np.argsort(doc, kind="stable")
+                    cut = np.searchsorted(doc[order], np.arange(len(part) + 1))
+                    for k, (i, j) in enumerate(zip(cut, cut[1:])):
+                        s[k] += (before + sentence[at[order[i:j]]]).tolist()
+                        f[k] += own[order[i:j]].tolist()
+                    before += int(sentence[-1]) + 1
+                yield pd.DataFrame({"y": pdf["y"].to_numpy()[first:end], "n": n, "s": s, "f": f})
 
     return run
 
@@ -166,6 +179,21 @@ def score_text_group(texts: list[str], model: dict) -> tuple[np.ndarray, list[li
     return score, found
 
 
+def score_whole(texts: list[str], model: dict) -> tuple[np.ndarray, list[list[str]]]:
+    """score_text_group() for texts of any length: long ones go sentence by sentence in pieces, combined by the same noisy-or."""
+    if all(len(t) <= LONG for t in texts):
+        return score_text_group(texts, model)
+    score, found = np.zeros(len(texts)), []
+    for i, t in enumerate(texts):
+        none, own = 1.0, []
+        for piece in pieces(t, ".!?\n"):
+            p, more = score_text_group([piece], model)
+            none, own = none * (1 - p[0]), own + more[0]
+        score[i] = 1 - none
+        found.append(own)
+    return score, found
+
+
 def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with score, predicted and offending (the sentences whose own score is TOXIC or more)."""
     names = [c for c in docs.columns if c not in ("score", "predicted", "offending")]
@@ -178,7 +206,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             score, found = np.full(len(texts), float(model["prior"])), [[] for _ in texts]
             if model["learned"]:
                 for first, part in groups(texts):
-                    score[first : first + len(part)], found[first : first + len(part)] = score_text_group(part, model)
+                    score[first : first + len(part)], found[first : first + len(part)] = score_whole(part, model)
             made = [pa.array(score), pa.array((score >= TOXIC).astype("int32")), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "score", "predicted", "offending"])
 
