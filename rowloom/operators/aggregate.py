@@ -66,8 +66,8 @@ def levels(df: DataFrame, by: list[str], value: str, **percents: float) -> DataF
 def window_means(series: DataFrame, by: list[str], order: str, value: str, width: int, low: float) -> DataFrame:
     """by, win, z, presence, failing: a series in windows of `width` places. A last window of less than half the width goes
     to the one before it; z is null where less than half is known."""
-    lim = series.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    s = series.join(lim, by)
+    all_ = Window.partitionBy(*by)
+    s = series.withColumns({"_lo": F.min(order).over(all_), "_hi": F.max(order).over(all_)})
     n = F.col("_hi") - F.col("_lo") + 1
     last = F.greatest(F.floor(n / width) - F.when(F.pmod(n, F.lit(width)) * 2 >= width, F.lit(0)).otherwise(F.lit(1)), F.lit(0))
     s = s.withColumn("win", F.least(F.floor((F.col(order) - F.col("_lo")) / width), last))

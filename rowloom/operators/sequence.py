@@ -138,10 +138,11 @@ def failures(series: DataFrame, by: list[str], order: str, z: str, threshold: fl
 
     Low places are those under threshold + hyst; a run needs one under the threshold; runs `close` places apart are one;
     those shorter than `least` go; edge marks runs within `edge` places of an end of the series."""
-    s = series.withColumn("_z", moving_median(z, by, order, half))
-    lim = series.groupBy(*by).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    all_ = Window.partitionBy(*by)
+    s = series.withColumns({"_z": moving_median(z, by, order, half), "_lo": F.min(order).over(all_), "_hi": F.max(order).over(all_)})
     s = s.withColumn("_strong", F.col("_z") < threshold)
-    runs = islands(s, by, order, F.col("_z") < threshold + hyst, close, {"level": F.avg("_z"), "_any": F.max(F.col("_strong").cast("int"))})
-    runs = runs.where("_any = 1").withColumn("length", F.col("last") - F.col("first") + 1).where(F.col("length") >= least).join(lim, by)
+    kept = {"level": F.avg("_z"), "_any": F.max(F.col("_strong").cast("int")), "_lo": F.first("_lo"), "_hi": F.first("_hi")}
+    runs = islands(s, by, order, F.col("_z") < threshold + hyst, close, kept)
+    runs = runs.where("_any = 1").withColumn("length", F.col("last") - F.col("first") + 1).where(F.col("length") >= least)
     at_edge = ((F.col("first") - F.col("_lo") < edge) | (F.col("_hi") - F.col("last") < edge)).cast("int")
     return runs.select(*by, "first", "last", "length", "level", at_edge.alias("edge"))

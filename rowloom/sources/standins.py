@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 PIXELS_PER_ROW = 21
 DAY0 = "2024-01-01"
@@ -40,9 +41,11 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, i (day), v: the mean value of each user and day; every row has all days from its first to its last."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("row_id"), F.datediff("ts", F.lit(DAY0)).alias("i"), "value")
     daily = e.groupBy("row_id", "i").agg(F.avg("value").alias("v"))
-    spans = daily.groupBy("row_id").agg(F.min("i").alias("lo"), F.max("i").alias("hi"))
-    grid = spans.select("row_id", F.explode(F.sequence("lo", "hi")).alias("i"))
-    return grid.join(daily, ["row_id", "i"], "left")
+    # Each day stands for itself and the empty days up to the next: one scan, and no join with a grid of days.
+    nxt = F.lead("i").over(Window.partitionBy("row_id").orderBy("i"))
+    days = daily.select("row_id", F.col("i").alias("_i"), "v", F.coalesce(nxt - 1, F.col("i")).alias("_to"))
+    days = days.select("row_id", "_i", "v", F.explode(F.sequence("_i", "_to")).alias("i"))
+    return days.select("row_id", "i", F.when(F.col("i") == F.col("_i"), F.col("v")).alias("v"))
 
 
 SERIES_SQL = """daily AS (
