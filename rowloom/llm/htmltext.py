@@ -239,7 +239,8 @@ def vote(page: str) -> tuple[str, float] | None:
 
 
 def extract(page: str, paths: list[str] | None) -> str:
-    """Text of a page by the first of the paths that it has, else by its own best container."""
+    """Text of a page by the first of the paths that it has, else by its own best container. A page that has such a container
+    but nothing in it has no text."""
     containers, blocks = read(page)
     if not blocks:
         return ""
@@ -247,6 +248,8 @@ def extract(page: str, paths: list[str] | None) -> str:
     for path in paths or ():
         if path in has and path:
             return taken(containers, blocks, path)
+    if paths and {c.path for c in containers} & set(paths):
+        return ""
     top = best(containers)
     return taken(containers, blocks, top.path) if top is not None and top.path else "\n\n".join(t for _, t in blocks)
 

@@ -23,6 +23,11 @@ def test_broken_and_empty():
     assert h.extract("<script>never ends <p>x</p>", None) == ""
 
 
+def test_empty_article_is_no_text():
+    page = "<body><article></article><p>left over</p></body>"
+    assert h.extract(page, ["body>article"]) == "" and h.extract(page, None) == "left over" and h.extract(page, ["body>main"]) == "left over"
+
+
 def test_consensus_overrules_one_page(spark):
     body = "<p>" + "text " * 20 + "</p>"
     normal = f'<body><div class="story">{body}</div><div class="pile"><p>short</p></div></body>'
