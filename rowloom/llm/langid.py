@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import remainder, table, text_or_empty
+from rowloom.llm.common import remainder, small, stored, table, text_or_empty
 
 PER_LANG = 4_000
 BUCKETS = 1 << 15
@@ -76,10 +76,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train(docs: DataFrame, allowed: Column, per_lang: int = PER_LANG) -> dict:
     """Names of the languages, and log probabilities (BUCKETS x languages)."""
     rows = docs.where(F.col("lang").isNotNull() & allowed & (F.length(F.trim("lang")) > 0))
-    # One row per language: as few as there are languages.
-    rates = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("rate"))
+    # One row per language: as few as there are languages. Counted first, so that the texts needn't be dealt by language.
+    rates = stored(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_lang)) / F.count(F.lit(1))).alias("rate")), "languages")
     unit = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.select("lang", text_or_empty("text").alias("text"), unit.alias("u")).join(rates, "lang").where("u < rate").select("lang", "text")
+    sample = rows.select("lang", text_or_empty("text").alias("text"), unit.alias("u")).join(small(rates)[0], "lang").where("u < rate").select("lang", "text")
     counts = sample.mapInPandas(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
     if not langs:
