@@ -30,7 +30,7 @@ from rowloom.llm.common import table, text_or_empty
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
 #: Cells of one padded matrix, entries of the piece cache, characters of a text taken at once, bytes of a result batch.
-CELLS, CACHE, BLOCK, BATCH = 1 << 19, 400_000, 1 << 22, 8 << 20
+CELLS, CACHE, BLOCK, BATCH = 1 << 18, 150_000, 1 << 20, 4 << 20
 NONE = np.int32(2**31 - 1)
 
 
@@ -83,8 +83,8 @@ class Bpe:
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line)}
         self.token = {i: t for t, i in self.rank.items()}
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(a, b, r) for t, r in self.rank.items() for k in range(1, len(t)) if (a := self.rank.get(t[:k])) is not None and (b := self.rank.get(t[k:])) is not None]
-        self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
+        pairs = (x for t, r in self.rank.items() for k in range(1, len(t)) if (a := self.rank.get(t[:k])) is not None and (b := self.rank.get(t[k:])) is not None for x in (a, b, r))
+        self.pairs = PairTable(*np.fromiter(pairs, np.int64).reshape(-1, 3).T)
         self.pieces = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
 
@@ -228,7 +228,7 @@ def _mapped(df: DataFrame, column: str, to: str, per_batch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = max(1, min(512, int(batch.num_rows * BATCH / max(1, batch.nbytes))))
+            step = max(1, min(256, int(batch.num_rows * BATCH / max(1, batch.nbytes))))
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
                 made = pa.array(per_batch(part.column(column).to_pylist()), pa.binary())

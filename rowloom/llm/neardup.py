@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rowloom.llm import dartminhash
 from rowloom.llm.common import small, stored, table, text_or_empty
 from rowloom.llm.components import components
-from rowloom.llm.textnp import groups, mix, word_hashes
+from rowloom.llm.textnp import groups, mix, slices, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -40,6 +40,8 @@ K = BANDS * ROWS
 #: Pairs that agree in a smaller share of signature values aren't checked: five standard deviations below SIMILAR.
 PLAUSIBLE = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
 BLOCK = 256
+#: Characters of the texts that are signed together.
+GROUP = 1 << 19
 BROADCAST_ROWS = 500_000
 _COEFFICIENTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -78,8 +80,8 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, part in groups(_texts(batch.column("t"))):
+    for batch in slices(batches):
+        for first, part in groups(_texts(batch.column("t")), GROUP):
             owner, h, times = shingles(part)
             values = dartminhash.signatures(h, 1 + np.log(times), owner, len(part), K)
             banded = values.reshape(len(part), BANDS, ROWS).astype(np.uint64)
@@ -110,8 +112,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, part in groups(_texts(batch.column("t"))):
+    for batch in slices(batches):
+        for _, part in groups(_texts(batch.column("t")), GROUP):
             owner, h, _ = shingles(part)
             node = set_hash(owner, h, len(part))
             cut = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)

@@ -21,7 +21,7 @@ IS_WORD = (_BYTES >= 128) | ((_BYTES >= 48) & (_BYTES <= 57)) | ((_BYTES >= 65)
 ENDS = np.isin(_BYTES, [0, 10, 33, 46, 63])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     one = np.ones(1, np.uint64)
     up, down = (np.concatenate([one, np.cumprod(np.full(n, x, np.uint64))]) for x in (_P, _P_INV))
@@ -49,7 +49,7 @@ class Bytes:
         edge = np.diff(IS_WORD[self.raw].view(np.int8), prepend=0, append=0)
         self.starts, self.ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.doc = np.searchsorted(self.begins, self.starts, "right") - 1
-        n = 1 << max(16, int(len(self.raw)).bit_length())
+        n = 1 << max(19, int(len(self.raw)).bit_length())
         self.up, self.down = _powers(n)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * self.up[: len(self.low)])])
 
@@ -76,7 +76,7 @@ class Bytes:
         return np.cumsum(ends) - ends
 
 
-def groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def groups(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts of at most about `most` characters in all; (index of the first, texts)."""
     at, part, n = 0, [], 0
     for i, t in enumerate(texts):
@@ -115,3 +115,10 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             out.append(Bytes([piece]).words())
             doc.append(np.full(len(out[-1]), i, np.int64))
     return np.concatenate(doc), np.concatenate(out)
+
+
+def slices(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in parts of few rows, so that no more texts than these are Python strings at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import remainder, table, text_or_empty
-from rowloom.llm.textnp import LONG, Bytes, groups, pieces
+from rowloom.llm.textnp import LONG, Bytes, groups, pieces, slices
 from rowloom.llm.training import labelled
 
 SAMPLE = 20_000
@@ -201,7 +201,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = ["" if t is None else t for t in batch.column(text).to_pylist()]
             score, found = np.full(len(texts), float(model["prior"])), [[] for _ in texts]
             if model["learned"]:
