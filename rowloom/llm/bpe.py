@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm.common import table, text_or_empty
+from rowloom.llm.textnp import trim
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LONG = 256
@@ -233,6 +234,9 @@ def _mapped(df: DataFrame, column: str, to: str, per_batch) -> DataFrame:
                 part = batch.slice(k, step)
                 made = pa.array(per_batch(part.column(column).to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), made], names=[*names, to])
+        for one in _LOADED.values():
+            one.cache.clear()
+        trim()
 
     return df.select(*df.columns).mapInArrow(run, df.select(*names).schema.add(to, "binary"))
 

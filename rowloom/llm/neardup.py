@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from rowloom.llm import dartminhash
 from rowloom.llm.common import small, stored, table, text_or_empty
 from rowloom.llm.components import components
-from rowloom.llm.textnp import groups, mix, slices, word_hashes
+from rowloom.llm.textnp import groups, mix, slices, trim, word_hashes
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -102,6 +102,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names=["doc_id", "k", "node", "n_shingles", "buckets", "signature"],
             )
+    trim()
 
 
 def signed(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ no step runs word by word in Python.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -122,3 +124,12 @@ def slices(batches: Iterator, rows: int = 256) -> Iterator:
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+def trim() -> None:
+    """Gives memory back at the end of a partition: Python workers live on, and serve other stages."""
+    _powers.cache_clear()
+    gc.collect()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)

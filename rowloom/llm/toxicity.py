@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import remainder, table, text_or_empty
-from rowloom.llm.textnp import LONG, Bytes, groups, pieces, slices
+from rowloom.llm.textnp import LONG, Bytes, groups, pieces, slices, trim
 from rowloom.llm.training import labelled
 
 SAMPLE = 20_000
@@ -209,6 +209,7 @@ def scored(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
                     score[first : first + len(part)], found[first : first + len(part)] = score_whole(part, model)
             made = [pa.array(score), pa.array((score >= TOXIC).astype("int32")), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "score", "predicted", "offending"])
+        trim()
 
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer").add("offending", T.ArrayType(T.StringType()))
     return docs.mapInArrow(run, schema)
