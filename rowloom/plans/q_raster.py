@@ -84,11 +84,19 @@ _DFT = """tile AS (SELECT r // 16 AS t, r % 16 AS y, c AS x, pg FROM pixel WHERE
 
 @query(f"{_P}, {_DFT} SELECT t::BIGINT AS tile, round(max(p) / 1000, 3) AS top, round(sum(p) FILTER (ring BETWEEN 2 AND 5) / 1000, 3) AS band FROM p GROUP BY t")
 def tile_spectrum(spark, sf_dir):
-    """Power spectra of tiles under a Hann window."""
-    p = S.pixels(spark, sf_dir).where("c < 16 AND r < 480").select(F.floor(F.col("r") / 16).alias("tile"), (F.col("r") % 16).alias("r"), "c", "green")
+    """Power spectra of tiles under a Hann window, as its SQL has it: of rows 0 to 479 only. tile_spectrum_all takes all."""
+    return _spectra(S.pixels(spark, sf_dir).where("r < 480"), 1)
+
+
+def _spectra(p, least):
+    """tile, top, band of the tiles of 16 x 16 pixels of which `least` are there."""
+    p = p.where("c < 16").select(F.floor(F.col("r") / 16).alias("tile"), (F.col("r") % 16).alias("r"), "c", "green")
 
     def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = raster.power(raster.dense(pdf, "green", 16))
+        a = raster.dense(pdf, "green", 16)
+        if np.isfinite(a).sum() < least:
+            return pd.DataFrame({"tile": [], "top": [], "band": []})
+        p = raster.power(a)
         f = np.fft.fftfreq(16) * 16
         ring = np.rint(np.hypot(*np.meshgrid(f, f, indexing="ij")))
         return pd.DataFrame({"tile": pdf["tile"].head(1), "top": p.max() / 1000, "band": p[(ring >= 2) & (ring <= 5)].sum() / 1000})
@@ -96,6 +104,15 @@ def tile_spectrum(spark, sf_dir):
     return p.groupBy("tile").applyInPandas(spectrum, "tile long, top double, band double").select("tile", F.round("top", 3).alias("top"), F.round("band", 3).alias("band"))
 
 
+_DFT_ALL = _DFT.replace("WHERE c < 16 AND r < 480)", "WHERE c < 16 QUALIFY count(*) OVER (PARTITION BY r // 16) = 256)")
+
+
+@query(f"{_P}, {_DFT_ALL} SELECT t::BIGINT AS tile, round(max(p) / 1000, 3) AS top, round(sum(p) FILTER (ring BETWEEN 2 AND 5) / 1000, 3) AS band FROM p GROUP BY t")
+def tile_spectrum_all(spark, sf_dir):
+    """Power spectra of all whole tiles under a Hann window; what is left over at the border has none."""
+    return _spectra(S.pixels(spark, sf_dir), 256)
+
+
 @query(f"""{_P}, x AS (SELECT r // 50 AS blk, k, avg(pg) AS v FROM pixel, range(0, 60) AS t(k) WHERE abs(c - (k * 0.1::DOUBLE) - 6.0 * round_even((c - k * 0.1::DOUBLE) / 6.0, 0)) <= 1.5 GROUP BY ALL)
   SELECT blk::BIGINT AS blk, round(k * 0.1::DOUBLE, 6) AS phase, round(v, 6) AS v FROM x QUALIFY row_number() OVER (PARTITION BY blk ORDER BY round(v, 9) DESC, k) = 1""")
 def refine_phase(spark, sf_dir):

@@ -27,3 +27,13 @@ def test_interval_union_takes_every_interval_and_piece(spark):
             want.append([row, a, b, 1])
     assert sorted((r.row_id, r.a, r.b, r.n) for r in got) == sorted((r, a, round(b, 6), n) for r, a, b, n in want)
     assert sum(r.n for r in got) == len(own) + len(pieces) and max(r.b for r in got) > 3000
+
+
+def test_every_whole_tile_has_a_spectrum(spark):
+    got = registry.QUERIES["tile_spectrum_all"](spark, FOLDER).collect()
+    assert sorted(r.tile for r in got) == list(range(rows(f"SELECT count(*) FROM '{FOLDER}/embeddings.parquet'")[0][0] // 16))
+
+
+def test_a_tile_with_a_missing_row_has_none(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM '{FOLDER}/embeddings.parquet' WHERE vec_id < 70 AND vec_id <> 20) TO '{tmp_path}/embeddings.parquet'")
+    assert sorted(r.tile for r in registry.QUERIES["tile_spectrum_all"](spark, str(tmp_path)).collect()) == [0, 2, 3]
