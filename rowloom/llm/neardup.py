@@ -1,7 +1,8 @@
-"""MinHash near-dedup (9): weighted DartMinHash signatures over word shingles, banded joining, exact check.
+"""MinHash near-dedup (9): DartMinHash signatures over word shingles, banded joining, exact check.
 
-1. Each text becomes the set of its distinct runs of SHINGLE words with weights 1 + ln(times), and K
-   signature values. Texts with equal sets are one node from here on, so copies are never paired.
+1. Each text becomes the set of its distinct runs of SHINGLE words and K signature values. All shingles weigh the
+   same, however often they occur, so signatures estimate what links are defined by and a set has one signature.
+   Texts with equal sets are one node from here on, so copies are never paired.
 2. BANDS bands of ROWS values are the buckets. In each bucket the node with the most bucket mates in all its
    buckets is the hub (a base that others are copies of meets more mates than any copy); the others are
    linked to it where the exact Jaccard similarity of the two sets is SIMILAR or more.
@@ -46,8 +47,8 @@ BROADCAST_ROWS = 500_000
 _COEFFICIENTS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
-def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, hash, times) of the distinct shingles of each text, sorted by owner and hash."""
+def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the distinct shingles of each text, sorted by owner and hash."""
     doc, w = word_hashes(texts)
     n = np.bincount(doc, minlength=len(texts))
     end = np.cumsum(n)
@@ -62,8 +63,7 @@ def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     owner, h = owner[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (np.diff(owner) > 0) | (h[1:] != h[:-1])
-    start = np.flatnonzero(new)
-    return owner[start], h[start], np.diff(start, append=len(h))
+    return owner[new], h[new]
 
 
 def set_hash(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
@@ -82,8 +82,8 @@ def _texts(column: pa.Array) -> list[str]:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         for first, part in groups(_texts(batch.column("t")), GROUP):
-            owner, h, times = shingles(part)
-            values = dartminhash.signatures(h, 1 + np.log(times), owner, len(part), K)
+            owner, h = shingles(part)
+            values = dartminhash.signatures(h, np.ones(len(h)), owner, len(part), K)
             banded = values.reshape(len(part), BANDS, ROWS).astype(np.uint64)
             bucket = np.zeros((len(part), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _COEFFICIENTS[2]
             for j in range(ROWS):
@@ -115,10 +115,11 @@ def signed(docs: DataFrame) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         for _, part in groups(_texts(batch.column("t")), GROUP):
-            owner, h, _ = shingles(part)
+            owner, h = shingles(part)
             node = set_hash(owner, h, len(part))
             cut = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], names=["node", "elements"])
+    trim()
 
 
 def sets_of(docs: DataFrame, signs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:

@@ -113,3 +113,29 @@ def test_a_set_has_one_signature_in_any_company():
     other = np.sort(rng.integers(1, 2**63, 5000).astype(np.uint64))
     both = dartminhash.signatures(np.concatenate([other, ids]), np.ones(5050), np.repeat([0, 1], [5000, 50]), 2, 96)
     assert (both[1] == alone[0]).all()
+
+
+def repeated():
+    rng = np.random.default_rng(7)
+    vocab = np.array(["".join(rng.choice(list("abcdefghijk"), rng.integers(2, 9))) for _ in range(900)])
+    bodies = [rng.choice(vocab, 120) for _ in range(27)]
+    return [" ".join(b) for b in bodies], [" ".join(np.tile(b, 2 + k % 9)) for k, b in enumerate(bodies)]
+
+
+def test_texts_with_a_repeated_body_are_near_to_it(spark):
+    once, often = repeated()
+    rows = list(enumerate(once + often))
+    want = brute(rows)
+    assert [want[i + len(once)] for i in range(len(once))] == list(range(len(once)))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == sorted((d, want[i]) for i, (d, _) in enumerate(rows))
+
+
+def test_equal_sets_have_equal_signatures(spark):
+    once, often = repeated()
+    twice = [t + " " + t for t in once]
+    signs = neardup.signed(spark.createDataFrame(list(enumerate(twice + often)), "doc_id long, text string")).collect()
+    per = {}
+    for r in signs:
+        per.setdefault(r.node, set()).add(bytes(r.signature))
+    assert len(per) == len(once) and all(len(x) == 1 for x in per.values())
