@@ -3,10 +3,12 @@
 1. Each page is read into a tree (end tags that are left out are supplied). Subtrees that are no article by tag, role
    or class words (menus, headers, footers, sidebars, notices, adverts, forms, comments, ...) are left out. Containers
    are scored by the characters of their blocks less their links' share; the page votes for the generalised
-   tag-class path of its best container.
+   tag-class path of its best container: an article or main part, else the outermost of which all is article text.
+   A part gets the vote instead only where what it leaves out is link text, or div parts that hold nothing but labels.
 2. Spark adds up the votes per host and path; a path with SHARE of its host's votes wins.
-3. Each page is read again by the winning path with the most votes that it has; a page that has none of them uses its
-   own best container.
+3. Each page is read again by its own path if that is a winning one, else by the winning path with the most votes that
+   it has. A page that has none of them uses its own best container, and so does one in which the path's containers
+   are the lesser part of that container.
 
 Votes are added per partition before they are shuffled. The winning paths are as many as hosts: they are broadcast
 while their count stays within a bound, else pages and paths are joined by a shuffle, which splits hot hosts.
@@ -29,8 +31,8 @@ from pyspark.sql.window import Window
 from rowloom.llm.common import small, stored, table
 
 SHARE = 0.1
-#: A container's part gets the vote instead of it if it has so much of its score.
-PART = 0.9
+#: Characters of a block that can be a label; one with the end of a sentence is none.
+LABEL = 30
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -41,6 +43,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_SENTENCE = re.compile(r"[.!?…。！？]")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 #: What a start tag closes if it is open, up to the nearest of the second set.
@@ -53,6 +56,11 @@ NO_ROLES = frozenset("navigation banner contentinfo complementary search form di
 NO_WORDS = frozenset("menu menus nav navbar navigation breadcrumb breadcrumbs header masthead topbar footer foot sidebar side aside rail notice notices cookie cookies consent gdpr banner alert popup modal overlay ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond discussion disqus share sharing social related recommended newsletter subscribe subscription signup login search widget widgets toolbar pagination pager copyright legal disclaimer skip".split())
 _KEEPS = frozenset("with has no without".split())
 CONTAINERS = frozenset("body article main section div td center blockquote figure details".split())
+#: Containers that lay out a page, and those of them that may hold labels only; the others belong to the text around them.
+LAYOUT, DIVS = frozenset("body article main section div td center".split()), frozenset("section div center".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Kinds of blocks.
+TEXT, HEADING, LINK = 0, 1, 2
 
 
 class Node:
@@ -85,33 +93,38 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
 
 
 def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """(containers, blocks) of a page. blocks: (number of the container, text); those of no article are left out.
+    """(containers, blocks) of a page. blocks: (kind, text); those of no article are left out.
     A container's blocks are those from first to last."""
     root = Node("html", "", None, False, False)
     stack, containers, blocks = [root], [], []
     run: list[str] = []
     chars = links = 0
+    plain = False
     at = 0
 
     def flush() -> None:
-        nonlocal chars, links
+        nonlocal chars, links, plain
         if run:
             text = " ".join("".join(run).split())
             if text:
-                blocks.append((0, text))
+                kind = TEXT if plain or not links else LINK
                 good = len(text) * (1 - min(1.0, links / max(1, chars)))
                 node = stack[-1]
                 while node is not None:
                     node.score += good
+                    if node.tag in HEADINGS:
+                        kind = HEADING
                     if node.first < 0:
-                        node.first = len(blocks) - 1
-                    node.last = len(blocks)
+                        node.first = len(blocks)
+                    node.last = len(blocks) + 1
                     node = node.parent
+                blocks.append((kind, text))
             run.clear()
         chars = links = 0
+        plain = False
 
     def add(text: str) -> None:
-        nonlocal chars, links
+        nonlocal chars, links, plain
         top = stack[-1]
         if text and not top.off:
             if "&" in text:
@@ -121,6 +134,8 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             chars += n
             if top.link:
                 links += n
+            elif not plain:
+                plain = any(c.isalnum() for c in text)
 
     def pop() -> None:
         if stack[-1].tag in BLOCKS:
@@ -207,9 +222,27 @@ def read(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return [root, *containers], blocks
 
 
-def best(containers: list[Node]) -> Node | None:
+def _all_in(now: Node, part: Node, blocks: list[tuple[int, str]]) -> bool:
+    """Whether a part has all article text of a container. What stands in the container itself may only be link text; another
+    part may be link text too, under headings or not, and a div part may also have labels."""
+    if part.tag not in LAYOUT:
+        return False
+    seen = set(range(part.first, part.last))
+    for other in now.parts:
+        if other is part or other.first < 0:
+            continue
+        own = [blocks[k] for k in range(other.first, other.last) if k not in seen]
+        seen.update(range(other.first, other.last))
+        linked, labels = any(kind == LINK for kind, _ in own), other.tag in DIVS
+        for kind, text in own:
+            if kind == HEADING and not linked or kind == TEXT and not (labels and len(text) <= LABEL and not _SENTENCE.search(text)):
+                return False
+    return all(blocks[k][0] == LINK for k in range(now.first, now.last) if k not in seen)
+
+
+def best(containers: list[Node], blocks: list[tuple[int, str]]) -> Node | None:
     """The container that the page votes for: the article or main part with most text if it has half of all, else from
-    the top down while one part has nearly all."""
+    the top down while one part has all article text."""
     root = containers[0]
     if root.score <= 0:
         return None
@@ -221,7 +254,7 @@ def best(containers: list[Node]) -> Node | None:
     now = next((c for c in containers if c.tag == "body"), root)
     if now.score < 0.5 * root.score:
         now = root
-    while now.parts and (part := max(now.parts, key=lambda c: c.score)).score >= PART * now.score:
+    while now.parts and (part := max(now.parts, key=lambda c: c.score)).score > 0 and _all_in(now, part, blocks):
         now = part
     return now
 
@@ -233,25 +266,31 @@ def taken(containers: list[Node], blocks: list[tuple[int, str]], path: str) -> s
 
 
 def vote(page: str) -> tuple[str, float] | None:
-    containers, _ = read(page)
-    top = best(containers)
+    containers, blocks = read(page)
+    top = best(containers, blocks)
     return None if top is None else (top.path, top.score)
 
 
 def extract(page: str, paths: list[str] | None) -> str:
-    """Text of a page by the first of the paths that it has, else by its own best container. A page that has such a container
-    but nothing in it has no text."""
+    """Text of a page by its own path if it is one of the paths, else by the first of them that it has, else by its own best
+    container; by that also where the path's containers are less than half of it. A page that has such a container but
+    nothing in it has no text."""
     containers, blocks = read(page)
     if not blocks:
         return ""
     has = {c.path for c in containers if c.first >= 0}
-    for path in paths or ():
+    top = best(containers, blocks)
+    own = top.path if top is not None else ""
+    for path in [own] if own and own in (paths or ()) else paths or ():
         if path in has and path:
+            parts = [c for c in containers if c.path == path and c.first >= 0]
+            inner = top is not None and all(top.first <= c.first and c.last <= top.last for c in parts)
+            if inner and own and sum(c.score for c in parts) < 0.5 * top.score:
+                path = own
             return taken(containers, blocks, path)
     if paths and {c.path for c in containers} & set(paths):
         return ""
-    top = best(containers)
-    return taken(containers, blocks, top.path) if top is not None and top.path else "\n\n".join(t for _, t in blocks)
+    return taken(containers, blocks, own) if own else "\n\n".join(t for _, t in blocks)
 
 
 def host(url: Column) -> Column:

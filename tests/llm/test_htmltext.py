@@ -40,3 +40,36 @@ def test_consensus_overrules_one_page(spark):
 
 def test_empty_table(spark):
     assert h.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "A long sentence of the article. " * 60
+
+
+def test_heading_and_lead_outside_the_inner_div_stay(spark):
+    page = f"<body><div class=post><h1>T</h1><p>lead</p><div class=text><p>{LONG}</p></div></div></body>"
+    want = f"T\n\nlead\n\n{LONG.strip()}"
+    assert h.vote(page)[0] == "body>div.post" and h.extract(page, None) == want
+    got = h.extracted(spark.createDataFrame([(i, f"https://a.example/{i}", page) for i in range(9)], "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [want] * 9
+    parts = f"<body><div class=post><div class=top><h1>T</h1></div><div class=lead>It is a lead.</div><div class=text>{LONG}</div></div></body>"
+    assert h.extract(parts, None) == f"T\n\nIt is a lead.\n\n{LONG.strip()}"
+
+
+def test_long_quotes_and_cells_leave_their_neighbours(spark):
+    for inner in ("<blockquote>{}</blockquote>", "<figure>{}</figure>", "<details>{}</details>", "<table><tr><td>a</td><td>{}</td></tr></table>"):
+        text = h.extract(f"<body><div class=post><p>before</p>{inner.format(LONG)}<p>after</p></div></body>", None)
+        assert text.startswith("before") and text.endswith("after") and LONG.strip() in text
+    cells = h.extract(f"<body><div><table><tr><td>a</td><td>{LONG}</td></tr></table></div></body>", None)
+    assert cells == f"a\n\n{LONG.strip()}"
+
+
+def test_links_beside_the_text_are_left_out():
+    page = f"<body><p><a href=/home>Home</a> | <a href=/x>More</a></p><div class=col><h3>Archive</h3><ul><li><a href=/1>May</a></ul></div><div class=post><h1>T</h1><p>{LONG}</p></div></body>"
+    assert h.vote(page)[0] == "body>div.post" and h.extract(page, None) == f"T\n\n{LONG.strip()}"
+
+
+def test_a_winning_path_does_not_take_the_lesser_part():
+    page = f"<body><div class=post><h1>T</h1><p>{LONG}</p><div class=text><p>One more sentence.</p></div></div></body>"
+    assert h.extract(page, ["body>div.post>div.text"]) == f"T\n\n{LONG.strip()}\n\nOne more sentence."
+    other = f"<body><div class=b><p>{LONG}</p></div><div class=a><p>Another text.</p></div></body>"
+    assert h.extract(other, ["body>div.a", "body"]).endswith("Another text.") and LONG.strip() in h.extract(other, ["body>div.a", "body"])
