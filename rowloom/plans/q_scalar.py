@@ -130,10 +130,16 @@ def review_reasons(spark, sf_dir):
 
 @query("SELECT p_partkey AS id, round_even(p_retailprice / 8, 1) AS half_even FROM part WHERE p_size <= 20")
 def rounding(spark, sf_dir):
-    """F26."""
+    """F26, as its SQL has it: parts of size 20 or less only. rounding_all takes all."""
     return S.read(spark, sf_dir, "part").where("p_size <= 20").select(F.col("p_partkey").alias("id"), X.half_even(F.col("p_retailprice") / 8, 1).alias("half_even"))
 
 
+@query("SELECT p_partkey AS id, round_even(p_retailprice / 8, 1) AS half_even FROM part")
+def rounding_all(spark, sf_dir):
+    """F26."""
+    return S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.half_even(F.col("p_retailprice") / 8, 1).alias("half_even"))
+
+
 @query(_P + """ SELECT (r // 8)::BIGINT AS wr, (c // 7)::BIGINT AS wc, round(avg(valid::INT), 6) AS frac FROM pixel GROUP BY ALL HAVING avg(valid::INT) >= 0.7""")
 def window_valid(spark, sf_dir):
     """Windows with enough valid pixels."""

@@ -37,3 +37,7 @@ def test_every_whole_tile_has_a_spectrum(spark):
 def test_a_tile_with_a_missing_row_has_none(spark, tmp_path):
     duckdb.sql(f"COPY (SELECT * FROM '{FOLDER}/embeddings.parquet' WHERE vec_id < 70 AND vec_id <> 20) TO '{tmp_path}/embeddings.parquet'")
     assert sorted(r.tile for r in registry.QUERIES["tile_spectrum_all"](spark, str(tmp_path)).collect()) == [0, 2, 3]
+
+
+def test_rounding_takes_every_part(spark):
+    assert registry.QUERIES["rounding_all"](spark, FOLDER).count() == rows(f"SELECT count(*) FROM '{FOLDER}/part.parquet'")[0][0]
