@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from rowloom.plans import registry
+from rowloom.sources import scenes
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
@@ -41,3 +42,10 @@ def test_a_tile_with_a_missing_row_has_none(spark, tmp_path):
 
 def test_rounding_takes_every_part(spark):
     assert registry.QUERIES["rounding_all"](spark, FOLDER).count() == rows(f"SELECT count(*) FROM '{FOLDER}/part.parquet'")[0][0]
+
+
+def test_failures_of_all_rows_are_those_of_the_scene(spark):
+    got = [(r.lot, r.row_id, r.first, r.first + r.length) for r in registry.QUERIES["failures_by_lot_all"](spark, FOLDER).collect()]
+    true = {(lot, row, a, b) for lot in (0, 1) for row, a, b in scenes.truth(spark)}
+    assert len(got) == len(set(got)) and set(got) <= true and (1, -3, 70, 95) in got
+    assert {x for x in true if x[1] >= 0} <= set(got)
