@@ -6,7 +6,7 @@ batch. A text can't forge a turn: after "<", any run of backslashes before "|" g
 and loses it when read back. So no control string, all of which begin with "<|", is left in a text.
 
 Cases: null text and null role count as empty; rows of equal turn go by role, then text; rows that repeat
-are turns of their own; a null conv_id is a conversation; a conversation with a wrong turn order is
+are turns of their own; a null conv_id is a conversation, and not that of the id "null"; a conversation with a wrong turn order is
 formatted too, with valid = false; an empty table gives no rows; other columns are not read.
 """
 
@@ -17,12 +17,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rowloom.llm.common import table
+from rowloom.llm.common import table, text_or_empty
+from rowloom.llm.textnp import slices
 
+#: Rows of a batch that are Python objects at once.
+ROWS = 512
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -68,68 +73,91 @@ def read_back(parts: list[tuple[str, bool]], t: Template) -> tuple[str, str, str
     return unescape(head.replace(t.line_break_in_role, "\n")), unescape(rest[: len(rest) - len(t.close)]), "".join(unescape(p) for p, loss in parts if loss)
 
 
-FORMATTED = "conv_id {key}, turn {turn}, state string, segments array<struct<text:string,loss:boolean>>"
+SEGMENTS = T.ArrayType(T.StructType().add("text", "string").add("loss", "boolean"))
 
 
-def format_turns(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
-    """conv_id, turn, state, segments: one row per turn. Each conversation lies in one partition, in
-    order. state is the role, or error from the first turn on that may not follow."""
-    kinds = dict(conversations.select("conv_id", "turn").dtypes)
+def _key() -> Column:
+    """The identity of a conversation as text: a null id is apart from every other, also from the text null."""
+    return F.when(F.col("conv_id").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col("conv_id").cast("string")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _formatted(template: Template):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = None, template.start
-        for pdf in batches:
+        for batch in slices(batches, ROWS):
             states, parts = [], []
-            for conv, role, text in zip(pdf["conv"], pdf["role"], pdf["text"]):
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv", "role", "text"))):
                 if conv != last:
                     last, state = conv, template.start
                 state = next_state(state, role, template)
                 states.append(state)
-                parts.append([{"text": p, "loss": loss} for p, loss in segments(role, text, template)])
-            yield pd.DataFrame({"conv_id": pdf["conv_id"], "turn": pdf["turn"], "state": states, "segments": parts})
+                parts += segments(role, text, template)
+            each = pa.StructArray.from_arrays([pa.array([p for p, _ in parts], pa.string()), pa.array([loss for _, loss in parts], pa.bool_())], names=["text", "loss"])
+            per = len(parts) // max(1, batch.num_rows)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * per), each)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), pa.array(states, pa.string()), lists], names=["conv_id", "turn", "state", "segments"])
+
+    return run
 
-    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"))
+
+def format_turns(conversations: DataFrame, template: Template = CHATML) -> DataFrame:
+    """conv_id, turn, state, segments: one row per turn. Each conversation lies in one partition, in
+    order. state is the role, or error from the first turn on that may not follow. Ids are never read, so they may be of any type."""
+    rows = conversations.select("conv_id", "turn", text_or_empty("role").alias("role"), text_or_empty("text").alias("text"), _key().alias("conv"))
     rows = rows.repartition("conv").sortWithinPartitions("conv", F.col("turn").asc_nulls_first(), "role", "text")
-    return rows.mapInPandas(run, FORMATTED.format(key=kinds["conv_id"], turn=kinds["turn"]))
+    schema = rows.select("conv_id", "turn").schema.add("state", "string").add("segments", SEGMENTS)
+    return rows.mapInArrow(_formatted(template), schema)
 
 
-DIGESTS = "conv_id {key}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
+_DIGESTS = [("n_turns", pa.int64(), "long"), ("turns_sha256", pa.string(), "string"), ("loss_chars", pa.int64(), "long"), ("loss_sha256", pa.string(), "string"), ("formatted_chars", pa.int64(), "long"), ("valid", pa.bool_(), "boolean")]
+
+
+class _Conversation:
+    """What is known of one conversation so far. Hashes grow turn by turn."""
+
+    def __init__(self) -> None:
+        self.turns, self.chars, self.loss_chars, self.state = 0, 0, 0, ""
+        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, parts: list[tuple[str, bool]], state: str, template: Template) -> None:
+        role, text, learned = read_back(parts, template)
+        self.all.update(f"{role}\n{text}\n".encode())
+        self.loss.update(learned.encode())
+        self.turns, self.loss_chars, self.chars, self.state = self.turns + 1, self.loss_chars + len(learned), self.chars + sum(len(p) for p, _ in parts), state
+
+    def row(self, template: Template) -> tuple:
+        return self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.state in template.final
 
 
 def digests(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row per conversation, read back from the segments of format_turns(). Hashes grow turn by turn."""
+    """One row per conversation, read back from the segments of format_turns()."""
+    rows = formatted.select("conv_id", _key().alias("conv"), "state", "segments")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = object()
-        last, own = none, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own, its_id = None, None, None
 
-        def end() -> dict:
-            return {"conv_id": last, "n_turns": own[0], "turns_sha256": own[1].hexdigest(), "loss_chars": own[2], "loss_sha256": own[3].hexdigest(), "formatted_chars": own[4], "valid": own[5] in template.final}
+        def ended(ids: list[pa.Array], done: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([r[k] for r in done], kind) for k, (_, kind, _) in enumerate(_DIGESTS)]
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], names=["conv_id", *(n for n, _, _ in _DIGESTS)])
 
-        for pdf in batches:
-            done = []
-            for conv, state, parts in zip(pdf["conv_id"].astype(object).where(pdf["conv_id"].notna(), None), pdf["state"], pdf["segments"]):
+        for batch in slices(batches, ROWS):
+            ids, done = [], []
+            for i, (conv, state, parts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv", "state", "segments")))):
                 if conv != last:
                     if own is not None:
-                        done.append(end())
-                    last, own = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, template.start]
-                found = [(p["text"], p["loss"]) for p in parts]
-                role, text, learned = read_back(found, template)
-                own[1].update(f"{role}\n{text}\n".encode())
-                own[3].update(learned.encode())
-                own[0], own[2], own[4], own[5] = own[0] + 1, own[2] + len(learned), own[4] + sum(len(p) for p, _ in found), state
+                        ids.append(its_id)
+                        done.append(own.row(template))
+                    last, own, its_id = conv, _Conversation(), batch.column("conv_id").slice(i, 1)
+                own.add([(p["text"], p["loss"]) for p in parts], state, template)
             if done:
-                yield framed(done)
+                yield ended(ids, done)
         if own is not None:
-            yield framed([end()])
-
-    def framed(done: list[dict]) -> pd.DataFrame:
-        out = pd.DataFrame(done)
-        out["conv_id"] = out["conv_id"].astype("Int64") if kind == "bigint" else out["conv_id"]
-        return out
+            yield ended([its_id], [own.row(template)])
 
-    kind = dict(formatted.dtypes)["conv_id"]
-    return formatted.mapInPandas(run, DIGESTS.format(key=kind))
+    schema = rows.select("conv_id").schema
+    for name, _, kind in _DIGESTS:
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.llm.common import stored
+from rowloom.llm.common import dropped, stored
 
 
 def _least(directed: DataFrame) -> DataFrame:
@@ -36,6 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         new = stored(_small_star(_large_star(now).where("a != b").distinct()).distinct(), "links")
         # A fixpoint: all links go straight to the least node, and no node has two.
         left = new.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count() + new.join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        dropped(now)
         now = new
         if not left:
             break

@@ -1,8 +1,7 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of the ten operators and their SQL. The pipeline is added by what calls it."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from rowloom.llm import bpe, chat, decontaminate, htmltext, langid, licenses, neardup, quality_model, quality_rules, toxicity
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_neardup": neardup.op9_neardup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,18 +92,19 @@ def groups(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[st
         yield at, part
 
 
-#: Characters of a text that are held as bytes, with their sums, at once.
+#: Characters of a text that are held as bytes, with their sums, at once: a piece ends at the next cut behind them.
 LONG = 1 << 21
+#: Where no word, and no sentence, is cut in two.
+BETWEEN_WORDS, AFTER_SENTENCES = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), re.compile(r"[\0\n!.?]")
 
 
-def pieces(text: str, ends: str = " \n\t", most: int | None = None) -> Iterator[str]:
-    """A long text in pieces of at most `most` characters that end after one of `ends`; where there is none for so long, the cut is hard."""
+def pieces(text: str, cut: re.Pattern = BETWEEN_WORDS, most: int | None = None) -> Iterator[str]:
+    """A long text in pieces that end with the first cut behind `most` characters; a run without a cut stays whole, so
+    words and sentences are the same for any `most`."""
     most, k = most or LONG, 0
-    while len(text) - k > most:
-        j = max(text.rfind(c, k, k + most) for c in ends) + 1
-        j = j if j > k else k + most
-        yield text[k:j]
-        k = j
+    while len(text) - k > most and (m := cut.search(text, k + most)):
+        yield text[k : m.end()]
+        k = m.end()
     yield text[k:]
 
 

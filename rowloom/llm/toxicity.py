@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowloom.llm.common import remainder, table, text_or_empty
-from rowloom.llm.textnp import LONG, Bytes, groups, pieces, slices, trim
+from rowloom.llm.textnp import AFTER_SENTENCES, LONG, Bytes, groups, pieces, slices, trim
 from rowloom.llm.training import labelled
 
 SAMPLE = 20_000
@@ -50,7 +50,7 @@ def _texts(pdf: pd.DataFrame, column: str) -> list[str]:
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int, list[list[str]]]]:
     """(first, end, blocks): groups of texts, as one block of several texts or as the pieces of one long text."""
     for first, part in groups(texts):
-        yield first, first + len(part), [[p] for p in pieces(part[0], ".!?\n")] if len(part) == 1 else [part]
+        yield first, first + len(part), [[p] for p in pieces(part[0], AFTER_SENTENCES)] if len(part) == 1 else [part]
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +186,7 @@ def score_whole(texts: list[str], model: dict) -> tuple[np.ndarray, list[list[st
     score, found = np.zeros(len(texts)), []
     for i, t in enumerate(texts):
         none, own = 1.0, []
-        for piece in pieces(t, ".!?\n"):
+        for piece in pieces(t, AFTER_SENTENCES):
             p, more = score_text_group([piece], model)
             none, own = none * (1 - p[0]), own + more[0]
         score[i] = 1 - none

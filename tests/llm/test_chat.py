@@ -41,3 +41,16 @@ def test_long_conversation_over_batches(spark):
 
 def test_empty(spark):
     assert chat.digests(chat.format_turns(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_large_ids_stay_whole_beside_a_null(spark):
+    big = 2**53
+    rows = [(i, t, r, "x") for i in (big, big + 1, big + 3, None) for t, r in enumerate(("user", "assistant"))]
+    got = {r.conv_id: r.n_turns for r in chat.digests(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert got == {big: 2, big + 1: 2, big + 3: 2, None: 2}
+
+
+def test_text_ids_and_the_word_null(spark):
+    rows = [("null", 0, "user", "a"), (None, 0, "user", "b"), ("n", 0, "user", "c"), ("null", 1, "assistant", "d")]
+    got = {r.conv_id: (r.n_turns, r.valid) for r in chat.digests(chat.format_turns(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string"))).collect()}
+    assert got == {"null": (2, True), None: (1, False), "n": (1, False)}

@@ -1,5 +1,7 @@
 """Quality and language models: held-out accuracy on made texts, and the odd cases."""
 
+from collections import Counter
+
 import numpy as np
 
 from rowloom.llm import langid, quality_model
@@ -56,7 +58,19 @@ def test_languages(spark):
 
 
 def test_blocks_count_like_one(monkeypatch):
-    text = "Some words, and äöü more of them. " * 30
-    whole = langid.bag(text)
-    monkeypatch.setattr(langid, "BLOCK", 100)
-    assert abs(int(langid.bag(text).sum()) - int(whole.sum())) < 0.2 * whole.sum()
+    texts = ["Some words, and äöü more of them. ΟΔΟΣ straße İx " * 30, "a", "", "one two", "Zwei Wörter " * 9]
+    plain = [Counter(b for n in langid.ORDERS for b in dict(langid.grams(np.concatenate([langid._SPACE, langid.codes(t), langid._SPACE])))[n].tolist()) for t in texts]
+    for block in (1 << 19, 2000, 100, 7, 1):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = [Counter() for _ in texts]
+        for first, doc, bucket, n in langid.bags(texts):
+            for d, b, k in zip(doc, bucket, n):
+                got[first + d][b] += k
+        assert got == plain, block
+
+
+def test_langid_query_ignores_other_columns(spark, tmp_path):
+    rows = [(i, "the cat sat" if i % 2 else "der Hund schläft", "en" if i % 2 else "de", "und", 3) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in langid.op6_langid(spark, str(tmp_path)).collect()}
+    assert len(got) == 60 and all(got[i].lang_pred == ("en" if i % 2 else "de") for i in got)
