@@ -1,3 +1,10 @@
+import time
+import tracemalloc
+from html.parser import HTMLParser
+
+import duckdb
+import pytest
+
 from rowloom.llm import htmltext as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
@@ -73,3 +80,90 @@ def test_a_winning_path_does_not_take_the_lesser_part():
     assert h.extract(page, ["body>div.post>div.text"]) == f"T\n\n{LONG.strip()}\n\nOne more sentence."
     other = f"<body><div class=b><p>{LONG}</p></div><div class=a><p>Another text.</p></div></body>"
     assert h.extract(other, ["body>div.a", "body"]).endswith("Another text.") and LONG.strip() in h.extract(other, ["body>div.a", "body"])
+
+
+def test_header_of_an_article_is_part_of_it():
+    page = "<body><header><h1>Site</h1></header><article><header class=entry-header><h1>Title</h1></header><p>Body of it.</p><footer>by me</footer></article></body>"
+    assert h.extract(page, None) == "Title\n\nBody of it."
+
+
+def test_quotes_without_their_other_half():
+    assert h.extract('<article><p data-x="abc>One two.</p><p>Three.</p></article>', None) == "One two.\n\nThree."
+    assert h.extract("<article><p title=it's>One two.</p><p>Don't.</p></article>", None) == "One two.\n\nDon't."
+    assert h.extract('<article><p title="a > b">One.</p><p data-y = \'<b>\'>Two.</p></article>', None) == "One.\n\nTwo."
+
+
+HOSTILE = {
+    "open quotes": '<a b="' * 180_000, "open tags": "<a " * 350_000, "quoted ends": "<a b='\">x" * 100_000, "nested": "<div>" * 100_000, "nested with text": "<div>x" * 100_000,
+    "nested links": "<div><a>x</a>" * 60_000, "stray ends": "<section>" * 20_000 + "</p>" * 80_000, "inline": "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "comments": "<!-- " * 200_000, "items": "<ul><li>" * 60_000 + "<li>" * 60_000,
+    "equal signs": "<p class=" * 100_000 + ">", "odd quotes": "<a x=\"y 'z=\">" * 70_000, "spaces": "<p " + " " * 500_000 + "\"" + " " * 500_000 + "'>x",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_seconds(name):
+    page = f"<body><article><p>Text.</p></article>{HOSTILE[name]}"
+    began = time.time()
+    h.extract(page, [h.vote(page)[0]])
+    assert time.time() - began < 15
+    if not name.startswith("nested"):
+        return
+    tracemalloc.start()
+    h.read(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+
+
+class Plain(HTMLParser):
+    """A second reader, for the layout of the given pages: blocks of what stands in the article element."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.off, self.blocks, self.now = 0, 0, [], []
+
+    def cut(self):
+        text = " ".join("".join(self.now).split())
+        if text:
+            self.blocks.append(text)
+        self.now = []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.off += tag in ("script", "style")
+        if tag == "br":
+            self.now.append(" ")
+        elif tag in ("p", "h1", "h2", "h3", "article", "ul", "li", "div"):
+            self.cut()
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "h2", "h3", "article", "ul", "li", "div"):
+            self.cut()
+        self.inside -= tag == "article"
+        self.off -= tag in ("script", "style")
+
+    def handle_data(self, data):
+        if self.inside and not self.off:
+            self.now.append(data)
+
+
+def test_equals_a_second_reader_on_the_given_pages(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = duckdb.sql(f"SELECT page_id, html FROM '{folder}/pages.parquet'").fetchall()
+    got = {r.page_id: r.text for r in h.op2_html(spark, folder).collect()}
+    assert len(got) == len(pages)
+    for page_id, html in pages:
+        plain = Plain()
+        plain.feed(html or "")
+        plain.close()
+        plain.cut()
+        assert got[page_id] == "\n\n".join(plain.blocks)
+
+
+def test_long_pages_and_columns_of_other_names(spark, tmp_path):
+    page = "<body><article>" + "".join(f"<p>Paragraph {i} of it.</p>" for i in range(60_000)) + "</article><nav>menu</nav>"
+    rows = [(1, "https://a.example/1", page, "t", "p", 1), (1, "https://a.example/1", page, "t", None, 2), (None, None, None, None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, text string, paths string, host long").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in h.op2_html(spark, str(tmp_path)).collect()]
+    want = "\n\n".join(f"Paragraph {i} of it." for i in range(60_000))
+    assert sorted(got, key=str) == sorted([(1, "https://a.example/1", want, len(want))] * 2 + [(None, None, "", 0)], key=str)
