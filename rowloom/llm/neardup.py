@@ -7,17 +7,18 @@
    buckets is the hub (a base that others are copies of meets more mates than any copy); the others are
    linked to it where the exact Jaccard similarity of the two sets is SIMILAR or more.
 3. Components of the links. Buckets that still hold nodes of more than one component are gone through in
-   full: their nodes are dealt in blocks, pairs of blocks go to tasks, and pairs across components that agree
+   full: their nodes' signatures are dealt in blocks, pairs of blocks go to tasks, and pairs across components that agree
    in enough signature values are checked exactly. A pair is looked at in the first bucket that it
-   shares, and only links that join components are emitted. So a group of n near copies with a hub costs n
-   checks, and what is not linked yet is compared block by block, without a cap.
+   shares. Pairs of blocks with very many such pairs don't write them out: they get the sets, and emit only links that join
+   components. So a group of n near copies with a hub costs n checks, and what is not linked yet is compared block by block,
+   without a cap.
 4. Components again; the class of a document is the least doc_id in its component.
 
 Exact checks read the sets of the nodes in question from their text again. Nothing of this reaches the driver
 but counts. Cases: null text counts as empty; a text without words has no set and is a class of its own;
 one of fewer than SHINGLE words has one shingle; repeated rows share a class; a null doc_id is no
 class id as long as its class has another (null if none has); an empty table gives no rows; other
-columns are not read. A set is known by a 64-bit hash.
+columns are not read. A set is known by two 64-bit hashes, a document by its id and a hash of its text.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.llm import dartminhash
-from rowloom.llm.common import small, stored, table, text_or_empty
+from rowloom.llm.common import dropped, small, stored, table, text_or_empty
 from rowloom.llm.components import components
 from rowloom.llm.textnp import groups, mix, slices, trim, word_hashes
 
@@ -41,6 +42,8 @@ K = BANDS * ROWS
 #: Pairs that agree in a smaller share of signature values aren't checked: five standard deviations below SIMILAR.
 PLAUSIBLE = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
 BLOCK = 256
+#: Plausible pairs for each row of a pair of blocks that are written out; where there are more, they are checked in place.
+DENSE = 8
 #: Characters of the texts that are signed together.
 GROUP = 1 << 19
 BROADCAST_ROWS = 500_000
@@ -66,15 +69,20 @@ def shingles(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return owner[new], h[new]
 
 
-def set_hash(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
+def set_hash(owner: np.ndarray, h: np.ndarray, sets: int, salt: np.uint64 = _COEFFICIENTS[1]) -> np.ndarray:
     """A hash of each set, as a signed number; 0 for the empty set."""
     out = np.zeros(sets, np.uint64)
     if len(h):
         first = np.flatnonzero(np.diff(owner, prepend=-1))
-        out[owner[first]] = mix(np.add.reduceat(mix(h ^ _COEFFICIENTS[1]), first)) | np.uint64(1)
+        out[owner[first]] = mix(np.add.reduceat(mix(h ^ salt), first)) | np.uint64(1)
     return out.view(np.int64)
 
 
+def proof(owner: np.ndarray, h: np.ndarray, sets: int) -> np.ndarray:
+    """A second hash of each set, independent of the first."""
+    return set_hash(owner, h, sets, _COEFFICIENTS[5])
+
+
 def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
@@ -89,48 +97,60 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in range(ROWS):
                 bucket = mix(bucket + banded[:, :, j] * _COEFFICIENTS[j])
             n = np.bincount(owner, minlength=len(part))
-            node = set_hash(owner, h, len(part))
             none = n == 0
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, len(part)),
                     batch.column("k").slice(first, len(part)),
-                    pa.array(node, mask=none),
+                    pa.array(set_hash(owner, h, len(part)), mask=none),
+                    pa.array(proof(owner, h, len(part)), mask=none),
                     pa.array(n.astype(np.int32)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(bucket.view(np.int64).ravel())),
                     pa.array([x.tobytes() for x in values], pa.binary()),
                 ],
-                names=["doc_id", "k", "node", "n_shingles", "buckets", "signature"],
+                names=["doc_id", "k", "node", "proof", "n_shingles", "buckets", "signature"],
             )
     trim()
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, k (hash of id and text), node (null without words), n_shingles, buckets, signature."""
+    """doc_id, k (hash of id and text), node and proof (hashes of the set, null without words), n_shingles, buckets, signature."""
     t = text_or_empty("text")
     rows = docs.select("doc_id", F.xxhash64("doc_id", t).alias("k"), t.alias("t"))
-    return rows.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, node long, n_shingles int, buckets array<long>, signature binary")
+    return rows.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, k long, node long, proof long, n_shingles int, buckets array<long>, signature binary")
+
+
+def apart(signs: DataFrame) -> DataFrame:
+    """signs with sets of equal hash and other proof made nodes of their own, and the hash as `hash`."""
+    clash = signs.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("proof").alias("lo"), F.max("proof").alias("hi")).where("lo != hi").select("node", F.lit(True).alias("clash"))
+    clash = stored(clash, "clashes")
+    signs = signs.withColumn("hash", F.col("node"))
+    if not clash.limit(1).count():
+        return signs
+    return signs.join(small(clash)[0], "node", "left").withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "proof")).otherwise(F.col("node"))).drop("clash")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        for _, part in groups(_texts(batch.column("t")), GROUP):
+        for first, part in groups(_texts(batch.column("t")), GROUP):
             owner, h = shingles(part)
-            node = set_hash(owner, h, len(part))
             cut = np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], names=["node", "elements"])
+            columns = [batch.column("k").slice(first, len(part)), pa.array(set_hash(owner, h, len(part))), pa.array(proof(owner, h, len(part)))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int64)))], names=["k", "hash", "proof", "elements"])
     trim()
 
 
 def sets_of(docs: DataFrame, signs: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
     """node, elements of the wanted nodes, from the text of one document each."""
     # The document of a node is the one with the least k; equal rows are dropped below.
-    wanted = signs.select("node", "k").join(small(nodes, BROADCAST_ROWS)[0], "node", "left_semi").groupBy("node").agg(F.min("k").alias("k"))
-    wanted = stored(wanted, name)
+    wanted = signs.select("node", "k", "hash", "proof").join(small(nodes, BROADCAST_ROWS)[0], "node", "left_semi").groupBy("node").agg(F.min(F.struct("k", "hash", "proof")).alias("one"))
+    wanted = stored(wanted.select("node", "one.*"), name)
+    own, _ = small(wanted, BROADCAST_ROWS)
     t = text_or_empty("text")
-    rows = docs.select(F.xxhash64("doc_id", t).alias("k"), t.alias("t")).join(small(wanted, BROADCAST_ROWS)[0].select("k"), "k", "left_semi")
-    found = rows.select("t").mapInArrow(_sets, "node long, elements array<long>")
-    repeated = signs.join(small(wanted, BROADCAST_ROWS)[0], ["node", "k"], "left_semi").groupBy("k").count().where("count > 1").limit(1).count()
+    rows = docs.select(F.xxhash64("doc_id", t).alias("k"), t.alias("t")).join(own.select("k"), "k", "left_semi")
+    # k alone might be that of another text too; its set is not the one that is wanted.
+    found = rows.mapInArrow(_sets, "k long, hash long, proof long, elements array<long>").join(own, ["k", "hash", "proof"]).select("node", "elements")
+    repeated = signs.join(own, ["node", "k"], "left_semi").groupBy("k").count().where("count > 1").limit(1).count()
     return found.dropDuplicates(["node"]) if repeated else found
 
 
@@ -142,16 +162,64 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links across components in each group (bucket, lo, hi) of consecutive rows."""
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each group (bucket, lo, hi) of consecutive rows, one frame per group."""
     held: list[pd.DataFrame] = []
     last = None
+    for pdf in batches:
+        key = pdf["bucket"].astype(str) + "/" + pdf["lo"].astype(str) + "/" + pdf["hi"].astype(str)
+        for _, rows in pdf.groupby((key != key.shift()).cumsum()):
+            now = key[rows.index[0]]
+            if held and now != last:
+                yield pd.concat(held)
+                held = []
+            held.append(rows)
+            last = now
+    if held:
+        yield pd.concat(held)
+
+
+def _plausible(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others after i) of the rows of a group whose signatures agree well enough, for which this bucket is the first that they share.
+    Of a group of two blocks only pairs across them."""
+    bucket, block = int(rows["bucket"].iloc[0]), rows["block"].to_numpy()
+    one = bool((rows["lo"] == rows["hi"]).all())
+    bands = np.array(rows["buckets"].tolist(), np.int64)
+    values = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), K)
+    for i in range(len(rows) - 1):
+        rest = np.arange(i + 1, len(rows))
+        if not one:
+            rest = rest[block[rest] != block[i]]
+        rest = rest[(values[rest] == values[i]).sum(1) >= PLAUSIBLE * K]
+        if len(rest):
+            yield i, rest[bands[rest, (bands[rest] == bands[i]).argmax(1)] == bucket]
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Plausible pairs across components of each group; of a group with many of them a row without a pair instead."""
+    for rows in _keyed(batches):
+        rows = rows.drop_duplicates("node")
+        node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
+        a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for i, rest in _plausible(rows):
+            rest = rest[comp[rest] != comp[i]]
+            a.append(np.full(len(rest), node[i]))
+            b.append(node[rest])
+            n += len(rest)
+            if n > DENSE * len(rows):
+                break
+        group = {c: int(rows[c].iloc[0]) for c in ("bucket", "lo", "hi")}
+        if n > DENSE * len(rows):
+            yield pd.DataFrame({**group, "a": [0], "b": [0], "dense": [True]})
+        else:
+            yield pd.DataFrame({**group, "a": np.concatenate(a), "b": np.concatenate(b), "dense": False})
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links across components in each group, whose rows have their sets; only those that join components."""
+    for rows in _keyed(batches):
         rows = rows.drop_duplicates("node")
-        comp = rows["comp"].tolist()
-        node, bucket, block = rows["node"].to_numpy(), int(rows["bucket"].iloc[0]), rows["block"].to_numpy()
-        one = bool((rows["lo"] == rows["hi"]).all())
+        node, comp, elements = rows["node"].to_numpy(), rows["comp"].tolist(), rows["elements"].tolist()
         root = {c: c for c in comp}
 
         def find(c):
@@ -159,18 +227,8 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 root[c] = c = root[root[c]]
             return c
 
-        bands = np.array(rows["buckets"].tolist(), np.int64)
-        values = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), K)
-        elements = rows["elements"].tolist()
         found = []
-        for i in range(len(rows) - 1):
-            rest = np.arange(i + 1, len(rows))
-            if not one:
-                rest = rest[block[rest] != block[i]]
-            rest = rest[(values[rest] == values[i]).sum(1) >= PLAUSIBLE * K]
-            if len(rest):
-                equal = bands[rest] == bands[i]
-                rest = rest[bands[rest, equal.argmax(1)] == bucket]
+        for i, rest in _plausible(rows):
             for j in rest:
                 a, b = find(comp[i]), find(comp[j])
                 if a != b:
@@ -180,19 +238,16 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if common >= SIMILAR * (len(x) + len(y) - common):
                             root[a] = b
                             found.append((node[i], node[j]))
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    for pdf in batches:
-        key = pdf["bucket"].astype(str) + "/" + pdf["lo"].astype(str) + "/" + pdf["hi"].astype(str)
-        for name, rows in pdf.groupby((key != key.shift()).cumsum()):
-            now = key[rows.index[0]]
-            if held and now != last:
-                yield links(pd.concat(held))
-                held = []
-            held.append(rows)
-            last = now
-    if held:
-        yield links(pd.concat(held))
+
+def _dealt(rows: DataFrame, info: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """Every pair of blocks of a bucket (or only some) as a group (bucket, lo, hi), its rows together, with what info has of their nodes."""
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+    if only is not None:
+        dealt = dealt.join(small(only, BROADCAST_ROWS)[0], ["bucket", "lo", "hi"], "left_semi")
+    return dealt.join(info, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
 
 def links(docs: DataFrame, signs: DataFrame) -> DataFrame:
@@ -200,43 +255,52 @@ def links(docs: DataFrame, signs: DataFrame) -> DataFrame:
     own = signs.where(F.col("node").isNotNull()).select("node", F.explode("buckets").alias("bucket"))
     # Copies of a set fall together before they are shuffled.
     mates = stored(own.groupBy("bucket", "node").agg(F.lit(1).alias("one")).select("bucket", "node"), "buckets")
-    sizes = mates.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = stored(mates.join(sizes, "bucket"), "shared")
+    sizes = stored(mates.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
+    shared = stored(mates.join(small(sizes, BROADCAST_ROWS)[0], "bucket"), "shared")
     degree = shared.groupBy("node").agg(F.sum("size").alias("degree"))
     ranked = shared.join(degree, "node").select("bucket", "node", (F.col("degree") * (1 << 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))).alias("rank"))
-    hubs = ranked.groupBy("bucket").agg(F.max_by("node", "rank").alias("hub"))
-    spokes = shared.join(hubs, "bucket").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = stored(ranked.groupBy("bucket").agg(F.max_by("node", "rank").alias("hub")), "hubs")
+    spokes = shared.join(small(hubs, BROADCAST_ROWS)[0], "bucket").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     spokes = stored(spokes, "spokes")
     ends = stored(spokes.select(F.col("a").alias("node")).union(spokes.select(F.col("b").alias("node"))).distinct(), "ends")
     sets = stored(sets_of(docs, signs, ends, "wanted"), "sets")
     good = stored(verified(spokes, sets), "links")
     comps = stored(components(good), "components")
-    own = shared.select("bucket", "node").join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    own = shared.select("bucket", "node").join(small(comps, BROADCAST_ROWS)[0], "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     own = stored(own, "own")
     open_ = own.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).where("least != most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = own.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = own.join(small(stored(open_, "open-buckets"), BROADCAST_ROWS)[0], "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     rows = stored(rows, "open")
+    dropped(mates, sizes, shared, hubs, spokes, ends, own)
     if not rows.limit(1).count():
         return comps
-    info = signs.where(F.col("node").isNotNull()).select("node", "k", "buckets", "signature").join(small(stored(rows.select("node").distinct(), "open-nodes"), BROADCAST_ROWS)[0], "node", "left_semi")
-    info = info.dropDuplicates(["node"]).drop("k")
-    full = rows.join(info.join(sets, "node"), "node")
-    dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    dealt = dealt.select("bucket", "lo", "hi", "block", "node", "comp", "buckets", "signature", "elements").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    more = stored(dealt.mapInPandas(_across, "a long, b long"), "more")
-    return components(good.union(more)) if more.limit(1).count() else comps
+    info = signs.where(F.col("node").isNotNull()).select("node", "buckets", "signature").join(small(stored(rows.select("node").distinct(), "open-nodes"), BROADCAST_ROWS)[0], "node", "left_semi")
+    info = info.dropDuplicates(["node"])
+    # Signatures alone go to the pairs of blocks; sets only to the few pairs that are left. A group of very many plausible
+    # pairs is not written out in pairs: its rows get their sets, and pairs are checked in place.
+    found = stored(_dealt(rows, info).mapInPandas(_candidates, "bucket long, lo int, hi int, a long, b long, dense boolean"), "candidates")
+    pairs = found.where("not dense").select("a", "b").distinct()
+    more = verified(pairs, sets)
+    dense = stored(found.where("dense").select("bucket", "lo", "hi").distinct(), "dense")
+    if dense.limit(1).count():
+        more = more.union(_dealt(rows, info.join(sets, "node"), dense).mapInPandas(_across, "a long, b long"))
+    more = stored(more, "more")
+    out = components(good.union(more)) if more.limit(1).count() else comps
+    dropped(sets, rows, found, dense)
+    return out
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, k, node, n_shingles, class_id, comp: one row per document row."""
-    signs = stored(signed(docs), "signed")
+    signs = apart(stored(signed(docs), "signed"))
     comps = links(docs, signs)
     rows = signs.select("doc_id", "k", "node", "n_shingles")
     per = rows.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    per = per.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    per = stored(per, "nodes")
-    ids = per.groupBy("comp").agg(F.min("least").alias("class_id"))
-    named = stored(per.join(ids, "comp").select("node", "comp", "class_id"), "classes")
+    # Only linked nodes have to be named by another; their components are as many as groups of near duplicates.
+    linked = stored(per.join(small(comps, BROADCAST_ROWS)[0], "node", "left"), "nodes")
+    ids = stored(linked.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("least").alias("class_id")), "classes")
+    named = linked.join(small(ids, BROADCAST_ROWS)[0], "comp", "left").select("node", F.coalesce("comp", "node").alias("comp"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"))
+    named = stored(named, "named")
     out = rows.join(named, "node", "left")
     return out.withColumn("class_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")))
 
@@ -246,16 +310,23 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_shingles")
 
 
+def _identity() -> list[Column]:
+    """What tells a document from others: its id, and a hash of id and text."""
+    return [F.coalesce(F.concat(F.lit("v"), F.col("doc_id").cast("string")), F.lit("")).alias("d"), F.xxhash64("doc_id", text_or_empty("text")).alias("k")]
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class: that with the least doc_id. Documents without words stay."""
-    own = stored(classes(docs).where(F.col("node").isNotNull()).select("doc_id", "k", "comp", "class_id"), "members")
+    """Keeps one document of each class: that with the least doc_id, of rows of that id the one with the least hash of its text; equal
+    rows count once. Documents without words stay."""
+    own = stored(classes(docs).where(F.col("node").isNotNull()).select("doc_id", _identity()[0], "k", "comp", "class_id"), "members")
     first = own.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("comp").agg(F.min("k").alias("first"))
-    gone = own.join(first, "comp").where("k != first").select("k").distinct()
+    # A member goes if another document of its class stays.
+    first = stored(first, "first")
+    gone = own.join(small(first, BROADCAST_ROWS)[0], "comp").where((F.col("k") != F.col("first")) | ~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("d", "k").distinct()
     gone = stored(gone, "gone")
-    t = text_or_empty("text")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", t).alias("k"))
-    rows = rows.join(small(gone, BROADCAST_ROWS)[0], "k", "left_anti")
-    # Equal rows, id and all, have one k: only where there are any, one of each is taken.
-    if own.groupBy("k").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["k"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *_identity())
+    rows = rows.join(small(gone, BROADCAST_ROWS)[0], ["d", "k"], "left_anti")
+    # Equal rows, id and all, have one identity: only where there are any, one of each is taken.
+    if own.groupBy("d", "k").count().where("count > 1").limit(1).count():
+        rows = rows.dropDuplicates(["d", "k"])
     return rows.select("row.*")

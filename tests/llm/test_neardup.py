@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rowloom.llm import dartminhash, neardup
 
@@ -139,3 +140,40 @@ def test_equal_sets_have_equal_signatures(spark):
     for r in signs:
         per.setdefault(r.node, set()).add(bytes(r.signature))
     assert len(per) == len(once) and all(len(x) == 1 for x in per.values())
+
+
+def test_dense_blocks_are_checked_in_place(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "DENSE", 0)
+    rows = corpus()
+    want = brute(rows)
+    got = sorted(((r.doc_id, r.class_id) for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted(((d, want[i]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_sets_of_equal_hash_stay_apart(spark):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = neardup.apart(neardup.signed(df).withColumn("node", F.pmod("node", F.lit(5))))
+    per = odd.where("node is not null").groupBy("node").agg({"proof": "count"}).count()
+    assert per == len({sets(t) for _, t in rows} - {frozenset()})
+
+
+def test_recall_of_edited_texts_with_repeats(spark):
+    """Pairs of 0.8 and more, with edits and with own words repeated, are linked."""
+    rng = np.random.default_rng(21)
+    vocab = np.array(["".join(rng.choice(list("abcdefghijk"), rng.integers(3, 9))) for _ in range(3000)])
+    rows, pairs = [], []
+    while len(pairs) < 150:
+        a = rng.choice(vocab, 300)
+        b = a.copy()
+        b[rng.choice(300, rng.integers(1, 8), replace=False)] = rng.choice(vocab)
+        at = int(rng.integers(0, 200))
+        b = np.concatenate([b, *[b[at : at + 100]] * int(rng.choice([0, 1, 3, 20]))])
+        x, y = " ".join(a), " ".join(b)
+        s, t = sets(x), sets(y)
+        if len(s & t) >= 0.8 * len(s | t):
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), x), (len(rows) + 1, y)]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
