@@ -3,12 +3,12 @@
 A text is cut by the vocabulary's pattern. A piece that is itself a token is done; the others are put,
 by bucket of length, into padded matrices of token ids. In every round each row merges its leftmost pair
 of least rank, pair ranks come from a hash table of pairs, and the matrix loses a column (compaction);
-rows without a pair leave. Pieces longer than LONG bytes are merged one at a time: every occurrence of
-the least rank in one pass, where no pair that arises has a lower rank (then the order can't matter),
-else the leftmost alone.
+rows without a pair leave. A matrix costs a piece the square of its length; so pieces longer than LONG bytes
+(words aren't) make the same merges in the same order one at a time, by a heap over a linked list.
 
 Cases: null text counts as empty and has no ids; control strings such as <|endoftext|> are ordinary text;
-repeated rows each give a row; texts over BLOCK characters are cut and encoded in blocks of pieces.
+repeated rows each give a row; texts over BLOCK characters are cut and encoded in blocks of pieces; an empty
+table gives no rows; other columns are not read by the query, and stay beside ids and decoded in the operators.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -126,22 +127,35 @@ class Bpe:
         return out, count
 
     def merged_long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            ranks = self.pairs(ids[:-1], ids[1:])
-            if (least := ranks.min()) == NONE:
-                break
-            at = np.flatnonzero(ranks == least)
-            run = np.maximum.accumulate(np.where(np.diff(at, prepend=-9) > 1, at, 0))
-            at = at[(at - run) % 2 == 0]  # of pairs that overlap, from the left
-            after_left = np.isin(at - 2, at, assume_unique=True)
-            left = np.where(after_left, least, ids[np.maximum(at - 1, 0)])
-            right = ids[np.minimum(at + 2, len(ids) - 1)]
-            merged = np.full(len(at), least)
-            if (self.pairs(left, merged)[at > 0] < least).any() or (self.pairs(merged, right)[at + 2 < len(ids)] < least).any():
-                at = at[:1]
-            ids[at] = least
-            ids = np.delete(ids, at + 1)
-        return ids
+        """The same merges of one piece of any length, in n log n: its tokens are a linked list, and a heap has the pairs by rank
+        and place, so that the leftmost of the least comes first. A pair that has changed since is passed over."""
+        n, ranks = len(ids), self.pairs(ids[:-1], ids[1:])
+        has = np.flatnonzero(ranks != NONE)
+        heap = ((ranks[has].astype(np.int64) << 32) | has).tolist()
+        heapify(heap)
+        token, now = ids.tolist(), [*ranks.tolist(), int(NONE)]
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+
+        def pair(i: int, j: int) -> None:
+            rank = self.rank.get(self.token[token[i]] + self.token[token[j]]) if j < n else None
+            now[i] = NONE if rank is None else rank
+            if rank is not None:
+                heappush(heap, rank << 32 | i)
+
+        while heap:
+            top = heappop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            if now[i] != rank:
+                continue
+            j = after[i]
+            token[i], token[j], now[j] = rank, -1, NONE
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            pair(i, k)
+            if (p := before[i]) >= 0:
+                pair(p, i)
+        return np.array([t for t in token if t >= 0], np.int64)
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of distinct pieces, as little-endian unsigned 32-bit integers."""

@@ -2,14 +2,15 @@
 noisy-or, P = 1 - prod(1 - p_s), and learned from the labels of whole texts.
 
 A sentence's score is logistic in its hashed words and runs of GRAM bytes inside words. Training takes a
-sample of SAMPLE labelled texts: a first pass counts, per bucket, in how many toxic and other texts it
-stands, and keeps the buckets that lean to the toxic side; a second pass brings the kept buckets of each
-sentence to the driver, where the weights are fitted by gradient steps on the noisy-or likelihood.
+sample of SAMPLE labelled texts with MOST features in all: a first pass counts, per bucket, in how many toxic and
+other texts it stands, and keeps the buckets that lean to the toxic side; a second pass brings the kept buckets of
+each sentence to the driver as flat columns, where the weights are fitted by gradient steps on the noisy-or likelihood.
 Scoring reads whole texts in batches; only the weights (BUCKETS floats) are broadcast.
 
 Cases: null text counts as empty; an empty text has no sentence and so score 0; repeated rows each give a
 row; where no label or only one class is given, the score is the share of class 1 (0.5 without labels); a
-text of any length is cut in blocks of sentences; an empty table gives no rows.
+text of any length is cut in blocks of sentences; an empty table gives no rows; other columns are not read, and
+those named as results are replaced.
 """
 
 from __future__ import annotations
@@ -19,15 +20,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from rowloom.llm.common import remainder, table, text_or_empty
+from rowloom.llm.common import remainder, stored, table, text_or_empty
 from rowloom.llm.textnp import AFTER_SENTENCES, LONG, Bytes, groups, pieces, slices, trim
 from rowloom.llm.training import labelled
 
-SAMPLE = 20_000
+#: Labelled texts to learn from, and features of them that the driver holds (8 bytes each), at most.
+SAMPLE, MOST = 20_000, 8_000_000
 BUCKETS = 1 << 20
 GRAM = 5
 #: At least so many toxic texts have a kept bucket; so many buckets are kept at most.
@@ -72,7 +76,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _bags(kept: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = np.full(BUCKETS, -1, np.int64)
+        index = np.full(BUCKETS, -1, np.int32)
         index[kept] = np.arange(len(kept))
         for pdf in batches:
             for first, end, blocks in _blocks(_texts(pdf, "text")):
@@ -88,14 +92,24 @@ def _bags(kept: np.ndarray):
                     order = np.argsort(doc, kind="stable")
                     cut = np.searchsorted(doc[order], np.arange(len(part) + 1))
                     for k, (i, j) in enumerate(zip(cut, cut[1:])):
-                        s[k] += (before + sentence[at[order[i:j]]]).tolist()
-                        f[k] += own[order[i:j]].tolist()
+                        s[k].append((before + sentence[at[order[i:j]]]).astype(np.int32))
+                        f[k].append(own[order[i:j]])
                     before += int(sentence[-1]) + 1
-                yield pd.DataFrame({"y": pdf["y"].to_numpy()[first:end], "n": n, "s": s, "f": f})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first:end], "y": pdf["y"].to_numpy()[first:end], "n": n, "s": [np.concatenate(x).tobytes() for x in s], "f": [np.concatenate(x).tobytes() for x in f]})
 
     return run
 
 
+def _bounded(bags: DataFrame, most: int) -> DataFrame:
+    """Those of the sampled texts that come first by the hash of their id, until they have `most` features in all."""
+    own = bags.select("doc_id", F.length("f").alias("size"))
+    if (own.agg(F.sum("size")).first()[0] or 0) <= 4 * most:
+        return bags
+    # As many rows as the sample has.
+    before = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id"))
+    return bags.join(F.broadcast(own.withColumn("before", before).where(F.col("before") <= 4 * most).select("doc_id")), "doc_id", "left_semi")
+
+
 def _sentences(b: Bytes) -> np.ndarray:
     """How many sentences with a word each text has."""
     place = b.sentences()[b.starts]
@@ -127,7 +141,7 @@ def fit_bags(y: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence_of: np.ndar
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE) -> dict:
+def train(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE, most: int = MOST) -> dict:
     """weights (BUCKETS floats), bias, and prior, which alone is used where there is nothing to learn."""
     rows = labelled(docs, labels, "toxic", allowed, sample)
     counts = rows.select("text", "y").mapInPandas(_count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
@@ -141,12 +155,16 @@ def train(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE) ->
     if not len(kept):
         return none
     kept = np.sort(kept)
-    bags = rows.select("text", "y").mapInPandas(_bags(kept), "y long, n long, s array<long>, f array<long>").toPandas()
-    doc_of = np.repeat(np.arange(len(bags)), bags["f"].map(len))
-    place = np.concatenate([np.asarray(x, np.int64) for x in bags["s"]]) if len(doc_of) else np.zeros(0, np.int64)
-    feature = np.concatenate([np.asarray(x, np.int64) for x in bags["f"]]) if len(doc_of) else np.zeros(0, np.int64)
-    _, first, sentence_of = np.unique(doc_of * (1 << 40) + place, return_index=True, return_inverse=True)
-    w, b = fit_bags(bags["y"].to_numpy(), bags["n"].to_numpy(), doc_of[first], sentence_of, feature, len(kept))
+    key = dict(rows.dtypes)["doc_id"]
+    bags = stored(rows.mapInPandas(_bags(kept), f"doc_id {key}, y long, n long, s binary, f binary"), "bags")
+    bags = _bounded(bags, most).select("y", "n", "s", "f").toArrow()
+    # Flat columns: no Python object per feature, and none per sentence.
+    size = np.array(pc.binary_length(bags["f"])) // 4
+    place, feature = (np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in bags[c]] or [np.zeros(0, np.int32)]) for c in ("s", "f"))
+    doc_of = np.repeat(np.arange(bags.num_rows), size)
+    _, first, sentence_of = np.unique(doc_of * (1 << 32) + place, return_index=True, return_inverse=True)
+    y, n_sentences = (bags[c].to_numpy() for c in ("y", "n"))
+    w, b = fit_bags(y, n_sentences, doc_of[first], sentence_of, feature, len(kept))
     weights = np.zeros(BUCKETS, np.float32)
     weights[kept] = w
     return {"weights": weights, "bias": float(b), "prior": pos / n, "learned": True}
@@ -223,7 +241,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), _allowed())
     out = scored(docs.select("doc_id", text_or_empty("text").alias("text")), model)
-    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"))
+    return out.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("offending").alias("n_offending"), F.array_join("offending", "\n").alias("offending"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

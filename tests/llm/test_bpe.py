@@ -1,6 +1,8 @@
 import base64
 import hashlib
 
+import time
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -52,3 +54,19 @@ def test_query_rows(spark, tmp_path):
     assert by[2][1] == 0 and by[2][2] == by[2][3] == hashlib.sha256(b"").hexdigest()
     assert by[None][3] == hashlib.sha256(("é" * 700).encode()).hexdigest()
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_very_long_piece_takes_its_length(both):
+    own, ref = both
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("etaoinshrdlu"), 200_000))
+    began = time.time()
+    ids = np.frombuffer(next(own.encode([text])), "<u4")
+    assert time.time() - began < 20 and own.decode(ids.tobytes()) == text.encode()
+    assert ids[:2000].tolist() == ref.encode_ordinary(text[:20_000])[:2000]
+
+
+def test_other_columns_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 2.0)], "doc_id long, text string, ids string, piece double")
+    out = bpe.decode(bpe.encode(df))
+    assert set(out.columns) == {"doc_id", "text", "piece", "ids", "decoded"} and bytes(out.first().decoded) == b"a b"

@@ -57,3 +57,36 @@ def test_stage_keeps_columns(spark, tmp_path):
     df = spark.createDataFrame([(*d, 1.5) for d in docs], "doc_id long, text string, predicted string, score double")
     got = toxicity.stage(spark, df, str(tmp_path))
     assert got.columns == df.columns and 250 < got.count() < 330
+
+
+def test_fit_within_a_bound_of_features_and_repeated_rows(spark):
+    docs, labels = made()
+    df = spark.createDataFrame(docs * 3, "doc_id long, text string, score string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    whole = toxicity.train(df, labels, toxicity._allowed())
+    once = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string, score string"), labels, toxicity._allowed())
+    assert np.allclose(whole["weights"], once["weights"], atol=1e-5) and whole["prior"] == once["prior"]
+    few = toxicity.train(df, labels, toxicity._allowed(), most=60)
+    assert few["learned"] and 0 < (few["weights"] > 0).sum() <= (whole["weights"] > 0).sum()
+
+
+def test_noisy_or_against_plain_code(spark):
+    docs, labels = made(60)
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity._allowed())
+    for _, text, _ in docs[:20]:
+        none = 1.0
+        for part in text.replace("!", ".").split("."):
+            if part.strip():
+                z = model["bias"] + sum(float(model["weights"][k]) for k in toxicity.features(Bytes([part]))[1])
+                none *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(toxicity.score_whole([text], model)[0][0] - (1 - none)) < 1e-4
+
+
+def test_long_text_finds_its_sentence(spark, monkeypatch):
+    docs, labels = made()
+    df = spark.createDataFrame(docs, "doc_id long, text string, x string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity._allowed())
+    bad = next(t for i, t, _ in docs if "zwurst" in t)
+    monkeypatch.setattr(toxicity, "LONG", 1000)
+    score, found = toxicity.score_whole(["plain words here. " * 3000 + bad + " plain words here." * 3000], model)
+    assert score[0] >= 0.5 and len(found[0]) == 1 and "zwurst" in found[0][0]
