@@ -2,8 +2,8 @@
 
 Every step is a DataFrame expression. A document fails by its own text (few words, much repetition).
 Failures are then counted per host; each host's failure rate is shrunk towards the mean of all hosts by
-a beta prior whose two parameters come from the moments of the host rates; a host whose shrunk rate
-reaches `host_rate` rejects its documents.
+a beta prior whose two parameters come from the moments of the host rates; a host whose shrunk rate is
+nearer to 1 than to the prior's mean rejects its documents.
 
 Cases: null text has no words and fails; a null host has no verdict; repeated rows each give a row;
 an empty table gives no rows; other columns of the input are not read.
@@ -21,7 +21,10 @@ MIN_WORDS = 10
 #: Percent of the words that may stand in repeated windows.
 MAX_REPEAT_PCT = 20
 WINDOW = 5
-HOST_RATE = 0.9
+#: Characters of a text that is short, in quality_rules_by_kind.
+SHORT = 70
+#: How far from the prior's mean to 1 a host's shrunk rate may lie.
+TO_ONE = 0.5
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -85,7 +88,7 @@ def beta_prior(mean: float | None, var: float | None, n_mean: float | None) -> t
     return m * weight, (1 - m) * weight
 
 
-def host_verdicts(base: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
+def host_verdicts(base: DataFrame, to_one: float = TO_ONE) -> DataFrame:
     """host, n_docs, n_failed, rate (shrunk), host_failed; one row per host. base has host and base_failed."""
     hosts = base.where(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     hosts = stored(hosts, "hosts")
@@ -94,16 +97,17 @@ def host_verdicts(base: DataFrame, host_rate: float = HOST_RATE) -> DataFrame:
     m = hosts.agg(F.avg(raw).alias("m"), F.var_pop(raw).alias("v"), (F.count(F.lit(1)) / F.sum(F.lit(1.0) / F.col("n_docs"))).alias("n")).first()
     alpha, beta = beta_prior(m["m"], m["v"], m["n"])
     rate = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
-    return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") >= host_rate)
+    mean = alpha / (alpha + beta)
+    return hosts.withColumn("rate", rate).withColumn("host_failed", F.col("rate") >= mean + to_one * (1 - mean))
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", host_rate: float = HOST_RATE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", to_one: float = TO_ONE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of `keep`, COUNTS, base_failed, host_rate and kept; one row per document."""
     own = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in keep], F.col(text).alias("_text"), host_of(F.col(host)).alias("host"))
     base = text_counts(own, "_text").drop("_text")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
     base = stored(base, "rules")
-    verdicts, _ = small(host_verdicts(base, host_rate).select("host", "rate", "host_failed"))
+    verdicts, _ = small(host_verdicts(base, to_one).select("host", "rate", "host_failed"))
     out = base.join(verdicts, "host", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False))
     return out.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], *COUNTS, "base_failed", F.col("rate").alias("host_rate"), kept.alias("kept"))
@@ -113,6 +117,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def quality_rules_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules with hosts that differ: the short texts are a host of their own, and most of them fail. Those that pass
+    are rejected with their host. host_rate is the host's shrunk rate."""
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.length(text_or_empty("text")) < SHORT, F.lit("short")).otherwise(F.col("source"))
+    return judge(docs.select("doc_id", "text", kind.alias("source"))).withColumn("host_rate", F.round("host_rate", 6))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass. The verdict comes with the row through `keep`, so rows that share
     an id stay apart."""
@@ -151,9 +163,15 @@ WITH d AS (
 ), pr AS (
   SELECT m, greatest(least(CASE WHEN between_v > 0 THEN m * (1 - m) / between_v - 1 ELSE 1000 END, 1000), 2) AS wt FROM bt
 ), v AS (
-  SELECT host, (k + m * wt) / (n + wt) >= 0.9 AS host_failed FROM h, pr
+  SELECT host, (k + m * wt) / (n + wt) >= (1 + m) / 2 AS host_failed FROM h, pr
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(host_failed, false) AS kept
 FROM f LEFT JOIN v USING (host)
 """
+
+ORACLE_BY_KIND = (
+    ORACLE.replace("lower(source) AS host", f"lower(CASE WHEN length(coalesce(text, '')) < {SHORT} THEN 'short' ELSE source END) AS host")
+    .replace("SELECT host, (k + m", "SELECT host, round((k + m * wt) / (n + wt), 6) AS host_rate, (k + m")
+    .replace("  NOT base_failed AND", "  host_rate, NOT base_failed AND")
+)

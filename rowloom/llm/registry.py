@@ -15,6 +15,7 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_neardup": neardup.op9_neardup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "quality_rules_by_kind": quality_rules.quality_rules_by_kind,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op8_chat": chat.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "quality_rules_by_kind": quality_rules.ORACLE_BY_KIND,
 }
