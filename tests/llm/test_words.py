@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from rowloom.llm import decontaminate, licenses, quality_rules
@@ -59,6 +60,55 @@ def test_licenses(spark, tmp_path):
     assert got == [(1, "MIT"), (2, ""), (3, "GPL"), (4, ""), (4, "All-rights-reserved")]
 
 
+def stretches(text, templates):
+    """Plain code for the license scan: names of the templates found, and of all whose shingles are near enough."""
+    found, ws = [], words(text)
+    for name, t in templates:
+        tw = words(t)
+        n = min(5, len(tw))
+        own = {tuple(tw[i : i + n]) for i in range(len(tw) - n + 1)} if n else set()
+        hits = [(i, tuple(ws[i : i + n])) for i in range(len(ws) - n + 1) if tuple(ws[i : i + n]) in own] if n else []
+        length = -(-5 * (len(tw) - n + 1) // 4)
+        best = max(((len({g for j, g in hits if i <= j < i + length}), -i, max(j for j, _ in hits if i <= j < i + length)) for i, _ in hits), default=None)
+        if best and best[0] >= 0.8 * len(own):
+            found.append((name, best[0], -best[1], best[2] + n))
+    return {a[0] for a in found if not any(b[2] <= a[2] and b[3] >= a[3] and b[1] > a[1] for b in found)}
+
+
+def test_license_texts_with_edits_against_plain_code(spark):
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(300)]
+    rows = []
+    for k in range(150):
+        name, text = licenses.TEMPLATES[k % len(licenses.TEMPLATES)]
+        w = text.split()
+        for i in rng.choice(len(w), int(len(w) * rng.choice([0, 0.01, 0.03, 0.06])), replace=False):
+            w[i] = str(rng.choice(vocab))
+        rows.append((k, " ".join([*rng.choice(vocab, rng.integers(0, 90)), *w, *rng.choice(vocab, rng.integers(0, 90))]), "x", "y"))
+    rows += [(900, " ".join(t for _, t in licenses.TEMPLATES), "x", "y"), (901, licenses.TEMPLATES[12][1] * 40, "x", "y"), (902, " ".join(x for i, x in enumerate(licenses.TEMPLATES[12][1].split()) for x in (x, vocab[i]) if i % 3 or x), "x", "y")]
+    documents, matches = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string, template string"), licenses.templates(spark))
+    per = {}
+    for r in matches.join(documents, ["d", "k"]).collect():
+        per.setdefault(r.doc_id, set()).add(r.license)
+        assert 0.8 <= r.containment <= 1 and 0 <= r["at"] < r.end
+    want = {i: stretches(t, licenses.TEMPLATES) for i, t, _, _ in rows}
+    total = sum(map(len, want.values()))
+    assert total > 120 and sum(len(want[i] & per.get(i, set())) for i in want) >= 0.99 * total
+    assert all(per.get(i, set()) <= want[i] for i in want)
+
+
+def test_licenses_of_empty_tables_and_templates(spark):
+    docs = spark.createDataFrame([(1, "MIT License"), (1, "MIT License"), (None, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "template int, license string, text string")
+    for t in (none, spark.createDataFrame([(1, "x", None), (2, "y", "...")], none.schema)):
+        documents, matches = licenses.scan(docs, t)
+        assert matches.count() == 0 and documents.agg({"n_rows": "sum"}).first()[0] == 3
+    documents, matches = licenses.scan(docs.limit(0), licenses.templates(spark))
+    assert documents.count() == 0 and matches.count() == 0
+    twice = spark.createDataFrame([(1, "a", "mit license"), (2, "b", "MIT License")], none.schema)
+    assert sorted(r.license for r in licenses.scan(docs, twice)[1].collect()) == ["a", "b"]
+
+
 def counts(t):
     t = t or ""
     ws = re.findall(r"[^\x20\x09-\x0D]+", t)
