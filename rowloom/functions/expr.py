@@ -186,3 +186,16 @@ def noise_rms(x) -> Column:
 
 
 TWO_PI = 2 * math.pi
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it: a lambda variable holds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+SHADOW = 30.0
+
+
+def lit_enough(scale, r="red", g="green", b="blue") -> Column:
+    """Brightness over the shadow threshold, taken to the scale of the numbers."""
+    return brightness(r, g, b) >= SHADOW * _c(scale)

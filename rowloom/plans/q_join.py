@@ -91,26 +91,13 @@ def interval_clip(spark, sf_dir):
     return o.groupBy("row_id", "piece").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("hi") - F.col("lo")), 4).alias("inside"))
 
 
-_UNION = """u AS (SELECT row_id, a, b FROM iv WHERE a < 800 UNION ALL SELECT row_id, c AS a, d AS b FROM piece WHERE c < 800),
+_UNION = """u AS (SELECT row_id, a, b FROM iv UNION ALL SELECT row_id, c AS a, d AS b FROM piece),
   m AS (SELECT *, sum(new) OVER (PARTITION BY row_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM (
   SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY row_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS new FROM u))"""
 
 
-@query(f"{_I}, {_PIECES}, {_UNION} SELECT row_id, a, round(max_b, 6) AS b FROM (SELECT row_id, min(a) AS a, max(b) AS max_b FROM m GROUP BY row_id, run)")
+@query(f"{_I}, {_PIECES}, {_UNION} SELECT row_id, a, round(max_b, 6) AS b, n FROM (SELECT row_id, min(a) AS a, max(b) AS max_b, count(*) AS n FROM m GROUP BY row_id, run)")
 def interval_union(spark, sf_dir):
-    """U2, U3, as its SQL has it: only what begins before day 800, where lineitem has no rows. interval_union_all takes all."""
-    own = S.intervals(spark, sf_dir).where("a < 800")
-    more = _pieces(spark, sf_dir).where("c < 800").select("row_id", F.col("c").alias("a"), F.col("d").alias("b"))
-    return Q.merge_intervals(own.unionByName(more), ["row_id"]).select("row_id", "a", _r("b"))
-
-
-_UNION_ALL = """u AS (SELECT row_id, a, b FROM iv UNION ALL SELECT row_id, c AS a, d AS b FROM piece),
-  m AS (SELECT *, sum(new) OVER (PARTITION BY row_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM (
-  SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY row_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 0 THEN 0 ELSE 1 END AS new FROM u))"""
-
-
-@query(f"{_I}, {_PIECES}, {_UNION_ALL} SELECT row_id, a, round(max_b, 6) AS b, n FROM (SELECT row_id, min(a) AS a, max(b) AS max_b, count(*) AS n FROM m GROUP BY row_id, run)")
-def interval_union_all(spark, sf_dir):
     """All intervals with all pieces; n of them are in each."""
     more = _pieces(spark, sf_dir).select("row_id", F.col("c").alias("a"), F.col("d").alias("b"))
     return Q.merge_intervals(S.intervals(spark, sf_dir).unionByName(more), ["row_id"]).select("row_id", "a", _r("b"), "n")

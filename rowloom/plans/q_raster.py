@@ -76,7 +76,7 @@ def box_statistic(spark, sf_dir):
     return raster.box_statistic(p, [], "r", "c", "x", 2, 4, 6.0).select("r", "c", F.round("t", 5).alias("t"))
 
 
-_DFT = """tile AS (SELECT r // 16 AS t, r % 16 AS y, c AS x, pg FROM pixel WHERE c < 16 AND r < 480), m AS (SELECT t, avg(pg) AS m FROM tile GROUP BY t),
+_DFT = """tile AS (SELECT r // 16 AS t, r % 16 AS y, c AS x, pg FROM pixel WHERE c < 16 QUALIFY count(*) OVER (PARTITION BY r // 16) = 256), m AS (SELECT t, avg(pg) AS m FROM tile GROUP BY t),
   h AS (SELECT t, y, x, (pg - m) * (0.5 - 0.5 * cos(2 * pi() * y / 15)) * (0.5 - 0.5 * cos(2 * pi() * x / 15)) AS v FROM tile JOIN m USING (t)),
   f AS (SELECT t, ky, kx, sum(v * cos(2 * pi() * (ky * y + kx * x) / 16)) AS re, sum(v * sin(2 * pi() * (ky * y + kx * x) / 16)) AS im FROM h, range(0, 16) AS a(ky), range(0, 16) AS b(kx) GROUP BY ALL),
   p AS (SELECT t, re * re + im * im AS p, round_even(sqrt(pow(CASE WHEN ky > 8 THEN ky - 16 ELSE ky END, 2) + pow(CASE WHEN kx > 8 THEN kx - 16 ELSE kx END, 2)), 0) AS ring FROM f)"""
@@ -84,8 +84,8 @@ _DFT = """tile AS (SELECT r // 16 AS t, r % 16 AS y, c AS x, pg FROM pixel WHERE
 
 @query(f"{_P}, {_DFT} SELECT t::BIGINT AS tile, round(max(p) / 1000, 3) AS top, round(sum(p) FILTER (ring BETWEEN 2 AND 5) / 1000, 3) AS band FROM p GROUP BY t")
 def tile_spectrum(spark, sf_dir):
-    """Power spectra of tiles under a Hann window, as its SQL has it: of rows 0 to 479 only. tile_spectrum_all takes all."""
-    return _spectra(S.pixels(spark, sf_dir).where("r < 480"), 1)
+    """Power spectra of all whole tiles of 16 x 16 under a Hann window; what is left over at the border has none."""
+    return _spectra(S.pixels(spark, sf_dir), 256)
 
 
 def _spectra(p, least):
@@ -104,15 +104,6 @@ def _spectra(p, least):
     return p.groupBy("tile").applyInPandas(spectrum, "tile long, top double, band double").select("tile", F.round("top", 3).alias("top"), F.round("band", 3).alias("band"))
 
 
-_DFT_ALL = _DFT.replace("WHERE c < 16 AND r < 480)", "WHERE c < 16 QUALIFY count(*) OVER (PARTITION BY r // 16) = 256)")
-
-
-@query(f"{_P}, {_DFT_ALL} SELECT t::BIGINT AS tile, round(max(p) / 1000, 3) AS top, round(sum(p) FILTER (ring BETWEEN 2 AND 5) / 1000, 3) AS band FROM p GROUP BY t")
-def tile_spectrum_all(spark, sf_dir):
-    """Power spectra of all whole tiles under a Hann window; what is left over at the border has none."""
-    return _spectra(S.pixels(spark, sf_dir), 256)
-
-
 @query(f"""{_P}, x AS (SELECT r // 50 AS blk, k, avg(pg) AS v FROM pixel, range(0, 60) AS t(k) WHERE abs(c - (k * 0.1::DOUBLE) - 6.0 * round_even((c - k * 0.1::DOUBLE) / 6.0, 0)) <= 1.5 GROUP BY ALL)
   SELECT blk::BIGINT AS blk, round(k * 0.1::DOUBLE, 6) AS phase, round(v, 6) AS v FROM x QUALIFY row_number() OVER (PARTITION BY blk ORDER BY round(v, 9) DESC, k) = 1""")
 def refine_phase(spark, sf_dir):
@@ -144,9 +135,9 @@ _SCORE = "((row_id * 7 + i * 3 + lv * 5 + (row_id * i) % 5) % 11 - 3)::DOUBLE"
   SELECT row_id, max(best) AS total FROM v JOIN (SELECT row_id, max(k) AS n FROM s GROUP BY row_id) USING (row_id) WHERE k = n GROUP BY row_id""")
 def viterbi_track(spark, sf_dir):
     """I4: the best lateral track through seven levels, one row per task group."""
-    s = S.series(spark, sf_dir).select("row_id", "i", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("lv"))
-    score = ((F.col("row_id") * 7 + F.col("i") * 3 + F.col("lv") * 5 + F.col("row_id") * F.col("i") % 5) % 11 - 3).cast("double")
-    return ordered.viterbi_track(s.withColumn("score", score), ["row_id"], "i", "lv", "score").select("row_id", "total")
+    score = lambda lv: ((F.col("row_id") * 7 + F.col("i") * 3 + lv * 5 + F.col("row_id") * F.col("i") % 5) % 11 - 3).cast("double")
+    s = S.series(spark, sf_dir).select("row_id", "i", F.transform(F.sequence(F.lit(0), F.lit(6)), score).alias("scores"))
+    return ordered.viterbi_track(s, ["row_id"], "i", "scores").select("row_id", "total")
 
 
 @query()
@@ -159,14 +150,13 @@ def row_grouping(spark, sf_dir):
 @query()
 def vote_clusters(spark, sf_dir):
     """Greedy groups of votes without harmonics."""
-    v = S.votes(spark, sf_dir).withColumn("lot", F.lit(0))
-    return ordered.vote_clusters(v, ["lot"], angle=15.0, period=0.2).select("pattern", _r("ang"), _r("per"), "n")
+    return ordered.vote_clusters(S.votes(spark, sf_dir), ["src"], angle=15.0, period=0.2, least_votes=3).select("src", "pattern", _r("ang"), _r("per"), "n")
 
 
 @query()
 def hinge_fit(spark, sf_dir):
-    """A line with kinks per row, and its residual on places that were left out."""
-    return ordered.hinge_fit(S.series(spark, sf_dir), ["row_id"], "i", "v", 2).select("row_id", F.size("knots").alias("kinks"), _r("loss"), _r("even_odd"))
+    """A line with kinks per row, and its residual on places that were left out, against that of a straight line."""
+    return ordered.hinge_fit(S.series(spark, sf_dir), ["row_id"], "i", "v", 2, 6.0).select("row_id", F.size("knots").alias("kinks"), _r("loss"), _r("even_odd"), _r("straight"), "accepted")
 
 
 @query()

@@ -98,11 +98,11 @@ def noise_reestimate(spark, sf_dir):
     return e.groupBy("event_type").agg(_r(F.least(X.noise_rms("x"), X.noise_rms("off")), "sigma"))
 
 
-@query(f"""{_P}, o AS (SELECT r // 50 AS blk, c // 5 AS part, c % 5 - 2 AS off, avg(pg) AS v FROM pixel WHERE c < 20 GROUP BY ALL), b AS (SELECT blk, part, off FROM o QUALIFY row_number() OVER (PARTITION BY blk, part ORDER BY round(v, 9) DESC, off) = 1)
+@query(f"""{_P}, o AS (SELECT r // 50 AS blk, c // 5 AS part, c % 5 - 2 AS off, avg(pg) AS v FROM pixel GROUP BY ALL), b AS (SELECT blk, part, off FROM o QUALIFY row_number() OVER (PARTITION BY blk, part ORDER BY round(v, 9) DESC, off) = 1)
   SELECT blk::BIGINT AS blk, round(regr_slope(off, part), 6) AS slope, round(regr_intercept(off, part), 6) AS shift FROM b GROUP BY blk HAVING count(*) >= 4""")
 def block_relocation(spark, sf_dir):
     """The best lateral place of each piece of a row, and a line through them."""
-    o = S.pixels(spark, sf_dir).where("c < 20").groupBy(F.floor(F.col("r") / 50).alias("blk"), F.floor(F.col("c") / 5).alias("part"), (F.col("c") % 5 - 2).alias("off")).agg(F.avg("green").alias("v"))
+    o = S.pixels(spark, sf_dir).groupBy(F.floor(F.col("r") / 50).alias("blk"), F.floor(F.col("c") / 5).alias("part"), (F.col("c") % 5 - 2).alias("off")).agg(F.avg("green").alias("v"))
     b = o.groupBy("blk", "part").agg(F.min(F.struct((-F.round("v", 9)).alias("v"), "off")).alias("m")).select("blk", "part", F.col("m.off").cast("double").alias("off"))
     return A.ols(b.withColumn("part", F.col("part").cast("double")), ["blk"], "part", "off").where("n >= 4").select("blk", _r("slope"), _r("intercept", "shift"))
 
@@ -128,16 +128,9 @@ def fine_detail(spark, sf_dir):
     return m.select(_r("m", "loss"), (F.col("m") >= 0.03).alias("detailed"))
 
 
-@query("SELECT * FROM (VALUES (0, 2, 60, 30), (0, 5, 100, 30), (1, 2, 60, 30), (1, 5, 100, 30)) AS t(lot, row_id, first, length)")
-def failures_by_lot(spark, sf_dir):
-    """Lots on their own; one of noise alone has no contrast, and doesn't keep the others from their failures.
-    Rows 0 to 8 only, as its SQL has it. failures_by_lot_all has all rows."""
-    return failures_by_lot_all(spark, sf_dir).where("row_id BETWEEN 0 AND 8")
-
-
 @query()
-def failures_by_lot_all(spark, sf_dir):
-    """As failures_by_lot, of all rows. The gap in row -3 is found in lot 1 and missed in lot 0."""
+def failures_by_lot(spark, sf_dir):
+    """Lots on their own; one of noise alone has no contrast, and doesn't keep the others from their failures."""
     px = scenes.pixels(spark, scenes.Scene(lots=(0, 1))).withColumn("v", X.exg())
     noise = scenes.pixels(spark, scenes.Scene(lots=(2,))).withColumn("v", (F.pmod(F.xxhash64("r", "c"), F.lit(1000)) / 1000.0 - 0.5) * 0.02)
     both = px.unionByName(noise)

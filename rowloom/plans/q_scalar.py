@@ -120,22 +120,15 @@ def presence(spark, sf_dir):
     return p.groupBy("r").agg(F.sum(on.cast("long")).alias("present"))
 
 
-@query("""SELECT n_name AS lot, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS review FROM customer JOIN nation ON c_nationkey = n_nationkey
-  WHERE c_acctbal > 5000 GROUP BY n_name""")
+@query("""SELECT n_name AS lot, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS review FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def review_reasons(spark, sf_dir):
     """The flags of each lot in one string."""
-    c = S.read(spark, sf_dir, "customer").where("c_acctbal > 5000").join(F.broadcast(S.read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = S.read(spark, sf_dir, "customer").join(F.broadcast(S.read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
     return c.groupBy(F.col("n_name").alias("lot")).agg(X.reasons("c_mktsegment").alias("review"))
 
 
-@query("SELECT p_partkey AS id, round_even(p_retailprice / 8, 1) AS half_even FROM part WHERE p_size <= 20")
-def rounding(spark, sf_dir):
-    """F26, as its SQL has it: parts of size 20 or less only. rounding_all takes all."""
-    return S.read(spark, sf_dir, "part").where("p_size <= 20").select(F.col("p_partkey").alias("id"), X.half_even(F.col("p_retailprice") / 8, 1).alias("half_even"))
-
-
 @query("SELECT p_partkey AS id, round_even(p_retailprice / 8, 1) AS half_even FROM part")
-def rounding_all(spark, sf_dir):
+def rounding(spark, sf_dir):
     """F26."""
     return S.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), X.half_even(F.col("p_retailprice") / 8, 1).alias("half_even"))
 
@@ -168,3 +161,14 @@ def source_guard(spark, sf_dir):
     """Is there anything to see."""
     p = S.pixels(spark, sf_dir).where("valid").agg((F.percentile(X.exg(), F.lit(0.995)) - F.percentile(X.exg(), F.lit(0.005))).alias("s"), F.count(F.lit(1)).alias("n"))
     return p.select(F.round("s", 6).alias("spread"), "n", ((F.col("s") >= 1e-6) & (F.col("n") > 0)).alias("usable"))
+
+
+@query(_P + """, k AS (SELECT k, CASE k WHEN 0 THEN 1 / 255.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 257.0::DOUBLE END AS f FROM range(0, 3) AS t(k)),
+  s AS (SELECT k, r, c, pr * f AS r1, pg * f AS g1, pb * f AS b1 FROM pixel, k), t AS (SELECT k, quantile_cont(greatest(r1, g1, b1), 0.999) AS top FROM s GROUP BY k)
+  SELECT k::INT AS k, count(*) FILTER ((r1 + g1 + b1) / 3 >= 30 * (CASE WHEN top <= 1.5 THEN 1 / 255.0::DOUBLE WHEN top <= 255 THEN 1.0::DOUBLE ELSE 257.0::DOUBLE END) + 1e-9) AS bright, count(*) AS n FROM s JOIN t USING (k) GROUP BY k""")
+def shadow_scale(spark, sf_dir):
+    """Pixels over the shadow threshold, as reflectances, in 8 and in 16 bits: the threshold goes with the scale of the numbers."""
+    p = S.pixels(spark, sf_dir).select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), *[(F.col(c) * f).alias(c) for c in ("red", "green", "blue")]) for k, f in enumerate((1 / 255.0, 1.0, 257.0))])).alias("x")).select("x.*")
+    top = p.groupBy("k").agg(F.percentile(F.greatest("red", "green", "blue"), F.lit(0.999)).alias("top")).select("k", X.dn_scale("top").alias("scale"))
+    on = X.brightness() >= X.SHADOW * F.col("scale") + 1e-9
+    return p.join(F.broadcast(top), "k").groupBy("k").agg(F.count(F.when(on, 1)).alias("bright"), F.count(F.lit(1)).alias("n"))
