@@ -36,6 +36,27 @@ def work_factor(period_px: float) -> int:
     return max(1, math.floor(period_px / 12)) if period_px > 24 else 1
 
 
+#: Least lengths of rows whose failures, and whose plants' spacing, are looked for.
+FAILURE_M, SPACING_M = 4.0, 20.0
+
+
+def long_enough(length, least: float) -> Column:
+    """P11; an unknown length is none."""
+    return F.coalesce(X._c(length) >= least, F.lit(False))
+
+
+def index_swap(green: Column, bright: Column, white: Column, forced: Column, stronger: float = 3.0, least_white: float = 1.0) -> Column:
+    """(crossed, swapped, ang, per, peak) from what green and brightness (structs ang, per, peak) show (C1). same: one pattern in both.
+    crossed: the brightness has another one that stands out (white), across the green's and 1.1 to 3 times as wide, as rows are to their
+    plants. The brightness is then used, as where it shows the same pattern more than `stronger` times as strongly, or is asked for."""
+    apart, wider = X.angle_diff(green["ang"], bright["ang"]), bright["per"] / green["per"]
+    same = F.coalesce((F.abs(bright["per"] - green["per"]) <= 0.1 * green["per"]) & (apart <= 2), F.lit(False))
+    crossed = F.coalesce(~same & (white >= least_white) & wider.between(1.1, 3.0) & (apart >= 45), F.lit(False))
+    swapped = bright["ang"].isNotNull() & (forced | crossed | (same & (bright["peak"] > stronger * green["peak"])))
+    pattern = lambda k: F.when(crossed | (swapped & same), bright[k]).otherwise(green[k]).alias(k)
+    return F.struct(crossed.alias("crossed"), swapped.alias("swapped"), pattern("ang"), pattern("per"), pattern("peak"))
+
+
 def first_guess(px: DataFrame, value: str, size: int = 64, least_period: float = 4.0, most_period: float = 40.0) -> DataFrame:
     """lot, ang, per, ring, frac by a summed spectrum."""
     return raster.orientation(raster.welch(px, value, size), size, least_period, most_period).where("NOT isnan(ang)")
@@ -111,10 +132,10 @@ def rows_of(ev: DataFrame, k_sigma: float = 3.0, gap_periods: float = 2.4, least
     return out.where(F.col("b") - F.col("a") >= least_periods * F.col("per")).select(*by, "a", "b")
 
 
-def failures_of(ev: DataFrame, rows: DataFrame, threshold: float = 0.5, least: int = 8, close: int = 3, half: int = 2) -> DataFrame:
+def failures_of(ev: DataFrame, rows: DataFrame, threshold: float = 0.5, least: int = 8, close: int = 3, half: int = 2, pixel: float = 1.0) -> DataFrame:
     """lot, row_id, first, last, length, level, edge (X11): stretches between a row's ends where its level, 0 between rows and 1 for a
-    typical plant, stays low."""
-    ext = rows.groupBy("lot", "row_id").agg(F.min("a").alias("lo"), F.max("b").alias("hi"))
+    typical plant, stays low. Rows of less than FAILURE_M (pixels of `pixel` metres) are left out (P11)."""
+    ext = rows.groupBy("lot", "row_id").agg(F.min("a").alias("lo"), F.max("b").alias("hi")).where(long_enough((F.col("hi") - F.col("lo")) * pixel, FAILURE_M))
     e = ev.join(ext, ["lot", "row_id"]).where("i BETWEEN lo AND hi")
     lv = e.groupBy("lot").agg(F.percentile("c", F.lit(0.75)).alias("ref"), F.percentile((F.col("l") + F.col("r")) / 2, F.lit(0.5)).alias("base"))
     z = e.join(per_lot(lv), "lot").select("lot", "row_id", "i", X.normalised("c", "base", "ref").alias("z"))

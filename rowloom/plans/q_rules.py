@@ -138,3 +138,36 @@ def failures_by_lot(spark, sf_dir):
     e = o["evidence"]
     contrast = e.groupBy("lot").agg((F.avg("con") / F.stddev_pop("con")).alias("k")).where("k >= 0.8").select("lot")
     return o["failures"].join(D.per_lot(contrast), "lot", "left_semi").select("lot", F.col("row_id").cast("int").alias("row_id"), F.col("first").cast("int").alias("first"), F.col("length").cast("int").alias("length"))
+
+
+def _grid_sql() -> str:
+    rows = [f"({s.lots[0]}, {len(s.gaps)}, {len(s.gaps)}, 0, true, true)" for s in scenes.grid()]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS t(lot, gaps, found, false_found, direction, good_rows)"
+
+
+@query(_grid_sql())
+def scene_grid(spark, sf_dir):
+    """X1-X4, X11-X13 against the truth of scenes that differ in direction, spacing, phase and noise: the gaps of each, those found within
+    three pixels at both ends, those found where none is, and whether direction, spacing and rows (F1 over 0.9) are right."""
+    grid = scenes.grid()
+    px = scenes.pixels(spark, grid[0])
+    for s in grid[1:]:
+        px = px.unionByName(scenes.pixels(spark, s))
+    o = D.run_scene(px.withColumn("v", X.exg()))
+    true = spark.createDataFrame([(s.lots[0], int(r), a, b, s.angle, s.period, s.phase) for s in grid for r, a, b in s.gaps], "lot int, row_id long, a double, b double, angle double, period double, phase double")
+    # Found rows are numbered from the estimated phase, which may differ from the true one by whole spacings.
+    lot = true.select("lot", "angle", "period", "phase").distinct()
+    near = o["estimate"].join(lot, "lot").select("lot", ((X.angle_diff("ang", "angle") < 0.5) & (F.abs(F.col("per") - F.col("period")) < 0.15)).alias("direction"), "angle", "period", "phase")
+    found = o["failures"].where("edge = 0").select("lot", "row_id", "first", "last")
+    hit = true.join(found.withColumnRenamed("row_id", "own"), "lot").where((F.abs(F.col("first") - F.col("a")) <= 3) & (F.abs(F.col("last") - F.col("b")) <= 3))
+    matched = hit.groupBy("lot").agg(F.count_distinct("row_id").alias("found"), F.count_distinct("own", "first").alias("real"))
+    all_ = found.groupBy("lot").agg(F.count(F.lit(1)).alias("n"))
+    x, y = F.col("c") + 0.5, F.col("r") + 0.5
+    cell = lambda p, e: p.join(D.per_lot(e), "lot").withColumn("k", F.rint((X.across(x, y, F.col("angle")) - F.col("phase")) / F.col("period")).cast("long"))
+    middle = cell(px, near).where(F.abs(X.across(x, y, F.col("angle")) - F.col("phase") - F.col("k") * F.col("period")) <= 1).select("lot", F.col("k").alias("row_id"), F.floor(X.along(x, y, F.col("angle"))).alias("i"))
+    cells = o["rows"].withColumn("i", F.explode(F.sequence(F.col("a").cast("long"), F.col("b").cast("long")))).select("lot", "row_id", "i")
+    both = cells.distinct().withColumn("f", F.lit(1)).join(middle.distinct().withColumn("t", F.lit(1)), ["lot", "row_id", "i"], "full").groupBy("lot").agg((2 * F.count(F.col("f") + F.col("t")) / (F.count("f") + F.count("t"))).alias("f1"))
+    gaps = true.groupBy("lot").agg(F.count(F.lit(1)).cast("int").alias("gaps"))
+    out = gaps.join(near, "lot").join(matched, "lot", "left").join(all_, "lot", "left").join(both, "lot", "left")
+    zero = F.lit(0)
+    return out.select("lot", "gaps", F.coalesce("found", zero).cast("int").alias("found"), (F.coalesce("n", zero) - F.coalesce("real", zero)).cast("int").alias("false_found"), "direction", F.coalesce(F.col("f1") > 0.9, F.lit(False)).alias("good_rows"))

@@ -113,20 +113,6 @@ def width_at_fraction(spark, sf_dir):
     return Q.width_at(p, ["r"], "c", "green", "green").select("r", F.col("first").cast("int").alias("first"), F.col("last").cast("int").alias("last"), "width")
 
 
-@query(f"""{_P}, {_TOP}, h AS (SELECT r, c, pg, tat, (top + base) / 2 AS half FROM pixel JOIN t USING (r) JOIN a USING (r))
-  SELECT r, round((coalesce(max(c) FILTER (c < tat AND pg < half) + 0.5, 0) + coalesce(min(c) FILTER (c > tat AND pg < half) - 0.5, 20)) / 2, 6) AS centre FROM h GROUP BY r""")
-def half_height_center(spark, sf_dir):
-    """The middle between the two places where the highest peak falls below half its height."""
-    p = S.pixels(spark, sf_dir).select("r", "c", "green")
-    t = p.groupBy("r").agg(F.max("green").alias("top"), F.min("green").alias("base"))
-    p = p.join(t, "r")
-    at = p.where("green = top").groupBy("r").agg(F.min("c").alias("at"))
-    p = p.join(at, "r").withColumn("low", F.col("green") < (F.col("top") + F.col("base")) / 2)
-    left = F.coalesce(F.max(F.when((F.col("c") < F.col("at")) & F.col("low"), F.col("c"))) + 0.5, F.lit(0.0))
-    right = F.coalesce(F.min(F.when((F.col("c") > F.col("at")) & F.col("low"), F.col("c"))) - 0.5, F.lit(20.0))
-    return p.groupBy("r").agg(_r((left + right) / 2, "centre"))
-
-
 @query(f"""{_S}, d AS (SELECT *, v - lag(v) OVER (PARTITION BY row_id ORDER BY i) AS d FROM series), o AS (SELECT *, sign(d) * sign(lag(d) OVER (PARTITION BY row_id ORDER BY i)) < 0 AS o FROM d WHERE d IS NOT NULL)
   SELECT row_id, count(*) AS pairs, round(avg((abs(d) >= 2)::INT), 6) AS large, round(avg(o::INT) FILTER (abs(d) >= 2), 6) AS opposite FROM o GROUP BY row_id""")
 def sign_alternation(spark, sf_dir):

@@ -41,3 +41,16 @@ def pixels(spark: SparkSession, s: Scene = Scene()) -> DataFrame:
 
 def truth(spark: SparkSession, s: Scene = Scene()) -> list[tuple[int, float, float]]:
     return sorted(s.gaps)
+
+
+def grid(size: int = 224) -> list[Scene]:
+    """Scenes of other directions, spacings, phases and noise, one per lot. Each has three gaps in rows near its middle, with several
+    spacings of row on both sides."""
+    out = []
+    for lot, (angle, period, phase, noise) in enumerate(((30.0, 12.0, 3.0, 6.0), (75.0, 9.0, 1.0, 10.0), (120.0, 15.0, 4.5, 25.0), (0.0, 10.0, 2.0, 3.0), (163.0, 13.0, 8.0, 15.0))):
+        a = math.radians(angle)
+        t, u = size / 2 * (math.cos(a) - math.sin(a)), size / 2 * (math.cos(a) + math.sin(a))
+        row = round((t - phase) / period)
+        gaps = tuple((row + k, round(u) + float(first), round(u) + float(first + length)) for k, first, length in ((0, -15, 34), (2, 8, 30), (-3, -30, 32)))
+        out.append(Scene(size, size, angle, period, phase, gaps, noise, (lot,)))
+    return out
