@@ -241,10 +241,24 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
 
+def _blocks(own: DataFrame) -> DataFrame:
+    """bucket, node, comp, block, others of the buckets with more than one component. Nodes of a bucket's largest component are done with each
+    other, so each of its blocks meets those of the other nodes only, which come first. others: how many blocks a node's block meets."""
+    per = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    size = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = per.select("bucket", F.col("most.comp").alias("large"), size(F.col("most.n")).alias("large_blocks"), size(F.col("all") - F.col("most.n")).alias("small_blocks"))
+    rows = own.join(small(stored(per, "open-buckets"), BROADCAST_ROWS)[0], "bucket")
+    at, large = F.xxhash64("node", F.lit(3)), F.col("comp") == F.col("large")
+    block = F.when(large, F.col("small_blocks") + F.pmod(at, F.col("large_blocks"))).otherwise(F.pmod(at, F.col("small_blocks"))).cast("int")
+    others = F.col("small_blocks") + F.when(large, 0).otherwise(F.col("large_blocks"))
+    return rows.select("bucket", "node", "comp", block.alias("block"), others.alias("others"))
+
+
 def _dealt(rows: DataFrame, info: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """Every pair of blocks of a bucket (or only some) as a group (bucket, lo, hi), its rows together, with what info has of their nodes."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = rows.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "blocks")
+    """The pairs of blocks of a bucket (or only some) as groups (bucket, lo, hi), rows of a group together, with what info has of their nodes."""
+    other = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    dealt = rows.withColumn("other", other).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")}).drop("other", "others")
     if only is not None:
         dealt = dealt.join(small(only, BROADCAST_ROWS)[0], ["bucket", "lo", "hi"], "left_semi")
     return dealt.join(info, "node").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
@@ -268,8 +282,7 @@ def links(docs: DataFrame, signs: DataFrame) -> DataFrame:
     comps = stored(components(good), "components")
     own = shared.select("bucket", "node").join(small(comps, BROADCAST_ROWS)[0], "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     own = stored(own, "own")
-    open_ = own.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("n")).where("least != most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = own.join(small(stored(open_, "open-buckets"), BROADCAST_ROWS)[0], "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    rows = _blocks(own)
     rows = stored(rows, "open")
     dropped(mates, sizes, shared, hubs, spokes, ends, own)
     if not rows.limit(1).count():
