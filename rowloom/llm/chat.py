@@ -16,9 +16,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,13 +144,15 @@ def digests(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
 
         for batch in slices(batches, ROWS):
             ids, done = [], []
-            for i, (conv, state, parts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("conv", "state", "segments")))):
+            each, size = batch.column("segments").flatten(), pc.list_value_length(batch.column("segments")).to_pylist()
+            flat = zip(each.field("text").to_pylist(), each.field("loss").to_pylist())
+            for i, (conv, state, n) in enumerate(zip(batch.column("conv").to_pylist(), batch.column("state").to_pylist(), size)):
                 if conv != last:
                     if own is not None:
                         ids.append(its_id)
                         done.append(own.row(template))
                     last, own, its_id = conv, _Conversation(), batch.column("conv_id").slice(i, 1)
-                own.add([(p["text"], p["loss"]) for p in parts], state, template)
+                own.add(list(islice(flat, n)), state, template)
             if done:
                 yield ended(ids, done)
         if own is not None:
