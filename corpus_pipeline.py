@@ -8,6 +8,10 @@ the next stage's docs, so a lost executor costs one stage at most. All but the l
 3. neardup: keeps the document with the least doc_id of each class of near duplicates.
 4. decontaminate: drops documents in which a window of the benchmark occurs.
 5. bpe: doc_id, n_tokens, ids, and digests of the ids and of the text decoded from them.
+
+Cases: null and empty texts go in the first stage, as they have too few words; documents with a null id are documents like others; rows
+that are equal in id and text are one document after the third stage; texts may be of any length; other columns are kept until the last
+stage; empty tables of documents, labels or benchmark give no rows, no verdict and no hit.
 """
 
 from __future__ import annotations
