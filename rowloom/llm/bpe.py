@@ -237,40 +237,55 @@ def vocabulary(path: str | None = None) -> bytes:
         return f.read()
 
 
-def _mapped(df: DataFrame, column: str, to: str, per_batch) -> DataFrame:
-    """df with a binary column `to`, which per_batch makes of the values of `column`."""
-    names = [c for c in df.columns if c != to]
+def _mapped(df: DataFrame, column: str, to: list[str], per_batch) -> DataFrame:
+    """df with binary columns `to`, which per_batch makes of the values of `column`, a list for each."""
+    names = [c for c in df.columns if c not in to]
+    schema = df.select(*names).schema
+    for c in to:
+        schema = schema.add(c, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             step = max(1, min(256, int(batch.num_rows * BATCH / max(1, batch.nbytes))))
             for k in range(0, batch.num_rows, step):
                 part = batch.slice(k, step)
-                made = pa.array(per_batch(part.column(column).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), made], names=[*names, to])
+                made = [pa.array(x, pa.binary()) for x in per_batch(part.column(column).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=[*names, *to])
         for one in _LOADED.values():
             one.cache.clear()
         trim()
 
-    return df.select(*df.columns).mapInArrow(run, df.select(*names).schema.add(to, "binary"))
+    return df.select(*df.columns).mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with the ids of each whole text, as little-endian unsigned 32-bit integers. The vocabulary is
     sent to the workers once; its size is that of the file and doesn't depend on the data."""
     blob = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
-    return _mapped(docs, text, to, lambda texts: list(loaded(blob.value, pattern).encode(["" if t is None else t for t in texts])))
+    return _mapped(docs, text, [to], lambda texts: [list(loaded(blob.value, pattern).encode(["" if t is None else t for t in texts]))])
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with the bytes that the ids stand for."""
     blob = df.sparkSession.sparkContext.broadcast(vocabulary(path))
-    return _mapped(df, ids, to, lambda found: [loaded(blob.value, pattern).decode(x or b"") for x in found])
+    return _mapped(df, ids, [to], lambda found: [[loaded(blob.value, pattern).decode(x or b"") for x in found]])
+
+
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """docs with ids and decoded, as decode(encode(docs)), but in one Python worker a task: it holds one vocabulary, and the ids are sent once."""
+    blob = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+
+    def both(texts: list[str | None]) -> list[list[bytes]]:
+        bpe = loaded(blob.value, pattern)
+        ids = list(bpe.encode(["" if t is None else t for t in texts]))
+        return [ids, [bpe.decode(x) for x in ids]]
+
+    return _mapped(docs, text, ["ids", "decoded"], both)
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row."""
-    coded = decode(encode(docs.select("doc_id", text_or_empty("text").alias("text")), "text").select("doc_id", "ids"))
+    coded = round_trip(docs.select("doc_id", text_or_empty("text").alias("text"))).select("doc_id", "ids", "decoded")
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -280,5 +295,5 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: token ids and digests of each document."""
-    coded = decode(encode(docs.select("doc_id", text_or_empty("text").alias("text")), "text").select("doc_id", "ids"))
+    coded = round_trip(docs.select("doc_id", text_or_empty("text").alias("text"))).select("doc_id", "ids", "decoded")
     return coded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
