@@ -93,7 +93,7 @@ def groups(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[st
 
 
 #: Characters of a text that are held as bytes, with their sums, at once: a piece ends at the next cut behind them.
-LONG = 1 << 21
+LONG = 1 << 19
 #: Where no word, and no sentence, is cut in two.
 BETWEEN_WORDS, AFTER_SENTENCES = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), re.compile(r"[\0\n!.?]")
 
