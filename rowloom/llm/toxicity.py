@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +46,8 @@ def features(b: Bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([b.starts, at]), np.concatenate([(b.words() & n), ((gram >> np.uint64(20)) & n)]).astype(np.int64)
 
 
-def _texts(pdf: pd.DataFrame, column: str) -> list[str]:
-    return ["" if t is None else t for t in pdf[column].tolist()]
+def _texts(batch: pa.RecordBatch, column: str) -> list[str]:
+    return ["" if t is None else t for t in batch.column(column).to_pylist()]
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int, list[list[str]]]]:
@@ -57,11 +56,11 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int, list[list[str]]]]:
         yield first, first + len(part), [[p] for p in pieces(part[0], AFTER_SENTENCES)] if len(part) == 1 else [part]
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros((2, BUCKETS), np.int64)
-    for pdf in batches:
-        y = pdf["y"].to_numpy()
-        for first, _, blocks in _blocks(_texts(pdf, "text")):
+    for batch in slices(batches):
+        y = batch.column("y").to_numpy(zero_copy_only=False)
+        for first, _, blocks in _blocks(_texts(batch, "text")):
             once = np.zeros(0, np.int64)
             for part in blocks:
                 b = Bytes(part)
@@ -71,15 +70,16 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in (0, 1):
                 seen[k] += np.bincount(bucket[y[first + doc] == k], minlength=BUCKETS)
     has = np.flatnonzero(seen[1])
-    yield pd.DataFrame({"bucket": has, "neg": seen[0][has], "pos": seen[1][has]})
+    yield pa.RecordBatch.from_pydict({"bucket": has, "neg": seen[0][has], "pos": seen[1][has]})
+    trim()
 
 
 def _bags(kept: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.full(BUCKETS, -1, np.int32)
         index[kept] = np.arange(len(kept))
-        for pdf in batches:
-            for first, end, blocks in _blocks(_texts(pdf, "text")):
+        for batch in slices(batches):
+            for first, end, blocks in _blocks(_texts(batch, "text")):
                 n, s, f, before = np.zeros(end - first, np.int64), [[] for _ in range(first, end)], [[] for _ in range(first, end)], 0
                 for part in blocks:
                     b = Bytes(part)
@@ -95,7 +95,10 @@ def _bags(kept: np.ndarray):
                         s[k].append((before + sentence[at[order[i:j]]]).astype(np.int32))
                         f[k].append(own[order[i:j]])
                     before += int(sentence[-1]) + 1
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[first:end], "y": pdf["y"].to_numpy()[first:end], "n": n, "s": [np.concatenate(x).tobytes() for x in s], "f": [np.concatenate(x).tobytes() for x in f]})
+                own = batch.slice(first, end - first)
+                made = [own.column("y").cast(pa.int64()), pa.array(n), *(pa.array([np.concatenate(x).tobytes() for x in c], pa.binary()) for c in (s, f))]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), *made], names=["doc_id", "y", "n", "s", "f"])
+        trim()
 
     return run
 
@@ -144,7 +147,7 @@ def fit_bags(y: np.ndarray, n: np.ndarray, doc: np.ndarray, sentence_of: np.ndar
 def train(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE, most: int = MOST) -> dict:
     """weights (BUCKETS floats), bias, and prior, which alone is used where there is nothing to learn."""
     rows = labelled(docs, labels, "toxic", allowed, sample)
-    counts = rows.select("text", "y").mapInPandas(_count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = rows.select("text", "y").mapInArrow(_count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos")).first()
     n, pos = total["n"], total["pos"] or 0
     none = {"weights": np.zeros(BUCKETS, np.float32), "bias": 0.0, "prior": pos / n if n else 0.5, "learned": False}
@@ -156,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed, sample: int = SAMPLE, mos
         return none
     kept = np.sort(kept)
     key = dict(rows.dtypes)["doc_id"]
-    bags = stored(rows.mapInPandas(_bags(kept), f"doc_id {key}, y long, n long, s binary, f binary"), "bags")
+    bags = stored(rows.mapInArrow(_bags(kept), f"doc_id {key}, y long, n long, s binary, f binary"), "bags")
     bags = _bounded(bags, most).select("y", "n", "s", "f").toArrow()
     # Flat columns: no Python object per feature, and none per sentence.
     size = np.array(pc.binary_length(bags["f"])) // 4
@@ -247,5 +250,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that are predicted toxic. Learns from the labelled documents that came so far."""
     model = train(docs, table(spark, sf_dir, "labels"), _allowed())
-    own = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in docs.columns], text_or_empty("text").alias("text"))
-    return scored(own, model).where("predicted = 0").select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
+    own = docs.select(*[F.col(c).alias(f"_keep_{c}") for c in docs.columns])
+    return scored(own, model, "_keep_text").where("predicted = 0").select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
