@@ -52,10 +52,11 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> tuple[DataFrame, bool]:
-    """df marked for broadcast if its counted rows stay within the bound, else as it is. df must be
-    cheap to count (stored). Beyond the bound Spark shuffles the join."""
-    fits = df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int = 200_000, size: Column | None = None, most: int = 1 << 26) -> tuple[DataFrame, bool]:
+    """df marked for broadcast if its counted rows, and the sum of their `size` in bytes where their columns have no bound, stay
+    within the bounds, else as it is. df must be cheap to count (stored). Beyond the bounds Spark shuffles the join."""
+    got = df.select((F.lit(0) if size is None else size).alias("size")).limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).first()
+    fits = got["n"] <= rows and (got["held"] or 0) <= most
     return (F.broadcast(df) if fits else df), fits
 
 

@@ -8,9 +8,10 @@ document there, and every run of SPAN equal words is an occurrence. Items of few
 each; for each such length all runs of that length are fingerprints, and the extension compares the item's
 words.
 
-No text is shuffled: the fingerprint join broadcasts the benchmark's side while its counted rows stay
-within a bound, and the second pass over documents joins the counted matches in the same way. Beyond the
-bounds both joins are shuffled and adaptive execution splits hot fingerprints.
+No text is shuffled: the fingerprint join broadcasts the benchmark's side while its counted rows and bytes stay
+within bounds, and the second pass over documents joins the counted matches in the same way. Beyond the
+bounds the joins are shuffled, fingerprints and diagonals without words, and adaptive execution splits hot fingerprints.
+A diagonal of an item in a document is laid out once, however many fingerprints lie on it.
 
 Cases: null and empty texts have no words; rows equal in id and text each give the same result row; a null
 doc_id is an id of its own; items that repeat count by item_id, an item without id hits but isn't listed;
@@ -66,10 +67,10 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 
 def seeds_of(items: DataFrame, short: list[int]) -> DataFrame:
-    """fp, item, ipos: the fingerprints of the items, with all their places."""
+    """fp, item, ipos, n (words of the item): the fingerprints of the items, with all their places."""
     h = items.withColumn("ih", F.transform("iw", lambda w: F.xxhash64(w)))
     kept = h.withColumn("kept", fingerprints(F.col("ih"), short)).withColumn("g", F.explode(places(F.col("ih"), short)))
-    return kept.where(F.array_contains("kept", F.col("g.fp"))).select(F.col("g.fp").alias("fp"), "item", F.col("g.at").alias("ipos"))
+    return kept.where(F.array_contains("kept", F.col("g.fp"))).select(F.col("g.fp").alias("fp"), "item", F.col("g.at").alias("ipos"), F.size("iw").alias("n"))
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -94,14 +95,15 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     documents = stored(documents, "fingerprinted")
     matched, _ = small(documents.where("n_seeds > 0").select("d", "k"), BROADCAST_ROWS)
     again = keyed(docs).join(matched, ["d", "k"], "left_semi").dropDuplicates(["d", "k"]) if _repeats(documents) else keyed(docs).join(matched, ["d", "k"], "left_semi")
-    again = again.withColumn("w", words(F.col("t"))).withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    found = again.select("d", "k", "w", F.explode(places(F.col("h"), short)).alias("g"))
-    found = found.select("d", "k", "w", F.col("g.fp").alias("fp"), F.col("g.at").alias("dpos"))
-    at, _ = small(seeds, BROADCAST_ROWS)
-    body, _ = small(items, BROADCAST_ROWS)
-    found = found.join(at, "fp").join(body, "item")
-    diagonal = F.col("dpos") - F.col("ipos")
-    laid = found.withColumn("eq", F.transform("iw", lambda x, j: F.coalesce(F.get("w", j + diagonal) == x, F.lit(False))))
+    again = stored(again.select("d", "k", words(F.col("t")).alias("w")), "matched")
+    found = again.select("d", "k", F.explode(places(F.transform("w", lambda w: F.xxhash64(w)), short)).alias("g"))
+    found = found.select("d", "k", F.col("g.fp").alias("fp"), F.col("g.at").alias("dpos")).join(small(seeds, BROADCAST_ROWS)[0], "fp")
+    # Words stay behind until each diagonal is known once; then each takes the words that its item lies over, and no more.
+    diagonals = stored(found.select("d", "k", "item", "n", (F.col("dpos") - F.col("ipos")).alias("diagonal")).distinct(), "diagonals")
+    diagonal, first = F.col("diagonal"), F.greatest("diagonal", F.lit(0))
+    laid = again.join(small(diagonals, BROADCAST_ROWS, F.octet_length("d") + 40)[0], ["d", "k"]).select("d", "k", "item", "diagonal", F.slice("w", first + 1, F.col("n")).alias("w"))
+    laid = laid.join(small(items, BROADCAST_ROWS, F.octet_length(F.array_join("iw", " ")) + 8 * F.size("iw"))[0], "item")
+    laid = laid.withColumn("eq", F.transform("iw", lambda x, j: F.coalesce(F.get("w", j + diagonal - first) == x, F.lit(False))))
     whole = F.forall("eq", lambda x: x)
     runs = sliding(F.col("eq"), SPAN, lambda a, b: a & b)
     starts = F.filter(F.transform(runs, lambda x, j: F.when(x, j + diagonal)), lambda x: x.isNotNull())
