@@ -63,6 +63,32 @@ def levels(df: DataFrame, by: list[str], value: str, **percents: float) -> DataF
     return df.groupBy(*by).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in percents.items()])
 
 
+#: Values that the bounds of a percentile are apart in rank, as a share of all: 1 / ACCURACY is what the sketch may be wrong by.
+ACCURACY = 10_000
+
+
+def whole_levels(df: DataFrame, value: str, **percents: float) -> DataFrame:
+    """One row with a column per named exact percentile (linear between values) of all rows; null where there are none.
+
+    A sketch bounds each percentile; then values below and above the bounds are only counted, and those between them (less than a
+    thousandth of all) are counted one by one and ranked. So no task holds all distinct values, as a plain percentile would."""
+    e = 3 / ACCURACY
+    v = F.col("_v")
+    rows = df.select(F.col(value).cast("double").alias("_v")).where(v.isNotNull())
+    bounds = rows.agg(*[F.percentile_approx("_v", [max(0.0, p - e), min(1.0, p + e)], ACCURACY).alias(name) for name, p in percents.items()])
+    sides = [F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.when(v < F.get(name, F.lit(0)), -1).when(v > F.get(name, F.lit(1)), 1).otherwise(0).alias("side")) for name, p in percents.items()]
+    t = rows.join(F.broadcast(bounds)).select("_v", F.explode(F.array(*sides)).alias("x")).select("_v", "x.*")
+    t = t.groupBy("name", "p", "side", F.when(F.col("side") == 0, v).alias("_key")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    w = Window.partitionBy("name")
+    order = w.orderBy("side", "_key")
+    t = t.select("name", F.sum("n").over(order).alias("_end"), "n", (F.col("p") * (F.sum("n").over(w) - 1)).alias("at"), F.when(F.col("side") < 0, F.col("_hi")).otherwise(F.col("_lo")).alias("_v"))
+    has = lambda k: (F.col("_end") > k) & (F.col("_end") - F.col("n") <= k)
+    low, high = (F.max(F.when(has(k), v)) for k in (F.floor("at"), F.ceil("at")))
+    share = F.first(F.col("at") - F.floor("at"))
+    out = t.groupBy("name").agg((low + (high - low) * share).alias("_v"))
+    return out.agg(*[F.max(F.when(F.col("name") == name, v)).alias(name) for name in percents])
+
+
 def window_means(series: DataFrame, by: list[str], order: str, value: str, width: int, low: float) -> DataFrame:
     """by, win, z, presence, failing: a series in windows of `width` places. A last window of less than half the width goes
     to the one before it; z is null where less than half is known."""

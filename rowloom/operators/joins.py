@@ -32,6 +32,39 @@ def band_pairs(df: DataFrame, by: list[str], position: str, width: float, key: s
     return s.join(t, [*by, "_bin"]).where((d > 0) & (d <= width) & (F.col(f"a.{key}") != F.col(f"b.{key}"))).drop("_bin")
 
 
+def nearest_beside(df: DataFrame, by: list[str], position: str, least: float, most: float, key: str, a: str, b: str, rounds: int = 4) -> DataFrame:
+    """by, key, d: how far the nearest row of the group lies beyond `least` and up to `most` whose span from a to b overlaps. Reaches double,
+    and rows that have found theirs leave, so that a crowded row meets its near neighbours only. df is read in each round: give a stored one."""
+    slim = df.select(*by, key, position, a, b)
+    left, found = slim, None
+    for k in range(rounds):
+        reach = most / 2 ** (rounds - 1 - k)
+        s = left.select(*by, F.struct(key, position, a, b).alias("_a"), F.floor(F.col(position) / reach).alias("_bin"))
+        t = slim.select(*by, F.struct(key, position, a, b).alias("_b"), F.explode(F.array(F.floor(F.col(position) / reach), F.floor(F.col(position) / reach) - 1)).alias("_bin"))
+        d = F.col(f"_b.{position}") - F.col(f"_a.{position}")
+        beside = (F.col(f"_a.{a}") < F.col(f"_b.{b}")) & (F.col(f"_b.{a}") < F.col(f"_a.{b}")) & (F.col(f"_a.{key}") != F.col(f"_b.{key}"))
+        got = s.join(t, [*by, "_bin"]).where((d > least) & (d <= reach) & beside).groupBy(*by, F.col(f"_a.{key}").alias(key)).agg(F.min(d).alias("d")).checkpoint()
+        found = got if found is None else found.unionByName(got)
+        if k + 1 < rounds:
+            left = left.join(got, [*by, key], "left_anti")
+    return found
+
+
+def lattice_members(left: DataFrame, right: DataFrame, by: list[str], lp: str, rp: str, spacing: float, tolerance: float) -> DataFrame:
+    """Rows of left that lie a whole number of spacings, at least one, from a row of right (tolerance: a share of the spacing). Both meet in bins
+    of their remainders, a little wider than the tolerance, the right side in the bins beside its own too."""
+    n = int(0.95 / tolerance)
+    bin_of = lambda c: F.least(F.floor(F.pmod(F.col(c), F.lit(spacing)) * n / spacing), F.lit(n - 1))
+    a = left.withColumn("_bin", bin_of(lp))
+    b = right.select(*[F.col(c).alias(f"_{c}") for c in by], F.col(rp).alias("_p"), bin_of(rp).alias("_own")).distinct()
+    b = b.withColumn("_beside", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_own") + k, F.lit(n)) for k in (-1, 0, 1)]))))
+    m = F.abs(F.col(lp) - F.col("_p")) / spacing
+    on = (F.col("_bin") == F.col("_beside")) & (F.abs(m - F.rint(m)) <= tolerance) & (F.rint(m) >= 1)
+    for c in by:
+        on = on & (a[c] == F.col(f"_{c}"))
+    return a.join(b, on, "left_semi").drop("_bin")
+
+
 def interval_overlap(left: DataFrame, right: DataFrame, by: list[str], bin_width: float, la: str = "a", lb: str = "b", ra: str = "c", rb: str = "d") -> DataFrame:
     """Rows of both sides whose intervals overlap, with lo and hi of what they share. Intervals are dealt over bins, and a pair is kept in
     the first bin that both have."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rowloom.functions import expr as X
+from rowloom.operators import graph
 from rowloom.operators import joins as J
 from rowloom.operators import sequence as Q
 from rowloom.plans.catalog import query
@@ -70,9 +71,8 @@ def asof_nearest_fold(spark, sf_dir):
 def spacing_self_join(spark, sf_dir):
     """The nearest neighbour of each segment within 8 units that runs beside it; the median per lot."""
     s = S.segments(spark, sf_dir)
-    p = J.band_pairs(s, ["lot_id"], "x1", 8.0, "seg_id")
-    p = p.where("b.x1 - a.x1 > 0.3 AND a.y1 < b.y2 AND b.y1 < a.y2")
-    d = p.groupBy("lot_id", F.col("a.seg_id").alias("seg_id")).agg(F.min(F.col("b.x1") - F.col("a.x1")).alias("d"))
+    graph.shared_dir(s)
+    d = J.nearest_beside(s.checkpoint(), ["lot_id"], "x1", 0.3, 8.0, "seg_id", "y1", "y2")
     return d.groupBy("lot_id").agg(_r(F.percentile("d", F.lit(0.5)), "spacing"), F.count(F.lit(1)).alias("n"))
 
 
@@ -160,8 +160,7 @@ def lattice_semijoin(spark, sf_dir):
     """Rows at a whole number of spacings from a row of the same lot."""
     s = S.read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("lot"), F.col("s_acctbal").alias("p"))
     c = S.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("lot"), F.col("c_acctbal").alias("v"))
-    n = F.abs(F.col("v") - F.col("p")) / 500
-    return c.join(s, (c["lot"] == s["lot"]) & (F.abs(n - F.rint(n)) <= 0.02) & (F.rint(n) >= 1), "left_semi").select("id")
+    return J.lattice_members(c, s, ["lot"], "v", "p", 500.0, 0.02).select("id")
 
 
 @query(f"{_V} SELECT src, count(*) AS n, round(sum(ring), 4) AS ring FROM vote GROUP BY src UNION ALL SELECT 'all', count(*), round(sum(ring), 4) FROM vote")

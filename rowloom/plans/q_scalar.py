@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowloom.functions import expr as X
+from rowloom.operators import aggregate as A
 from rowloom.plans.catalog import query
 from rowloom.sources import standins as S
 
@@ -71,7 +72,8 @@ def affine_map(spark, sf_dir):
   FROM (SELECT round(quantile_cont(greatest(pr, pg, pb), 0.999), 6) AS top FROM pixel WHERE valid)""")
 def dn_scale(spark, sf_dir):
     """F24."""
-    top = S.pixels(spark, sf_dir).where("valid").agg(F.round(F.percentile(F.greatest("red", "green", "blue"), F.lit(0.999)), 6).alias("top"))
+    top = S.pixels(spark, sf_dir).where("valid").withColumn("v", F.greatest("red", "green", "blue"))
+    top = A.whole_levels(top, "v", top=0.999).select(F.round("top", 6).alias("top"))
     return top.withColumn("scale", X.dn_scale("top"))
 
 
@@ -80,7 +82,7 @@ def dn_scale(spark, sf_dir):
 def normalise(spark, sf_dir):
     """F16: 0 at the inter-row level, 1 at the plant level. The levels are one row."""
     p = S.pixels(spark, sf_dir).where("valid").withColumn("v", X.exg())
-    levels = p.agg(F.percentile("v", F.lit(0.2)).alias("base"), F.percentile("v", F.lit(0.75)).alias("ref"))
+    levels = A.whole_levels(p, "v", base=0.2, ref=0.75)
     return p.join(F.broadcast(levels)).select("r", "c", F.round(X.normalised("v", "base", "ref"), 6).alias("z"))
 
 
@@ -159,7 +161,8 @@ def windowed_scan(spark, sf_dir):
 @query(_P + ", g AS (SELECT quantile_cont((2 * pg - pr - pb) / (pr + pg + pb + 1e-6), 0.995) - quantile_cont((2 * pg - pr - pb) / (pr + pg + pb + 1e-6), 0.005) AS spread, count(*) AS n FROM pixel WHERE valid) SELECT round(spread, 6) AS spread, n, spread >= 1e-6 AND n > 0 AS usable FROM g")
 def source_guard(spark, sf_dir):
     """Is there anything to see."""
-    p = S.pixels(spark, sf_dir).where("valid").agg((F.percentile(X.exg(), F.lit(0.995)) - F.percentile(X.exg(), F.lit(0.005))).alias("s"), F.count(F.lit(1)).alias("n"))
+    v = S.pixels(spark, sf_dir).where("valid").withColumn("v", X.exg())
+    p = A.whole_levels(v, "v", hi=0.995, lo=0.005).select((F.col("hi") - F.col("lo")).alias("s")).join(F.broadcast(v.agg(F.count(F.lit(1)).alias("n"))))
     return p.select(F.round("s", 6).alias("spread"), "n", ((F.col("s") >= 1e-6) & (F.col("n") > 0)).alias("usable"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rowloom.functions import expr as X
+from rowloom.operators import aggregate as A
 from rowloom.operators import sequence as Q
 from rowloom.plans.catalog import query
 from rowloom.sources import standins as S
@@ -186,6 +187,6 @@ def stride_sample(spark, sf_dir):
 def row_failures(spark, sf_dir):
     """X11 (tail), W4, W6, W9, W11, F16, G10, P10: levels from percentiles, normalised series, running median, runs below a half."""
     s = S.series(spark, sf_dir)
-    levels = s.agg(F.percentile("v", F.lit(0.2)).alias("base"), F.percentile("v", F.lit(0.75)).alias("ref"))
+    levels = A.whole_levels(s, "v", base=0.2, ref=0.75)
     z = s.join(F.broadcast(levels)).select("row_id", "i", X.normalised("v", "base", "ref").alias("z"))
     return Q.failures(z, BY, "i", "z").select("row_id", "first", "last", "length", _r("level"), "edge")
