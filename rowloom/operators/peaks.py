@@ -21,9 +21,9 @@ def half_height_centers(df: DataFrame, by: list[str], order: str, value: str, pe
     level = s.groupBy(*by).agg(F.min(F.when(left, F.col("_v"))).alias("_a"), F.min(F.when(right, F.col("_v"))).alias("_b"), F.max(F.when(F.col("_i") == F.col("_k"), F.col("_v"))).alias("_top"))
     level = level.select(*by, (0.5 * (F.col("_top") + 0.5 * (F.col("_a") + F.col("_b")))).alias("_level"))
     s = s.join(level, by).where("_v < _level")
-    # The nearest low places; beside them, towards the peak, the profile is at the level or over it.
-    x_left = F.max(F.when(left, F.struct("_i", (F.col("_i") + (F.col("_level") - F.col("_v")) / (F.col("_after") - F.col("_v"))).alias("x"))))
-    x_right = F.min(F.when(right, F.struct("_i", (F.col("_i") - 1 + (F.col("_before") - F.col("_level")) / (F.col("_before") - F.col("_v"))).alias("x"))))
+    # The nearest low places; beside them, towards the peak, the profile is at the level or over it. Farther out it may be flat: no division there.
+    x_left = F.max(F.when(left, F.struct("_i", (F.col("_i") + F.try_divide(F.col("_level") - F.col("_v"), F.col("_after") - F.col("_v"))).alias("x"))))
+    x_right = F.min(F.when(right, F.struct("_i", (F.col("_i") - 1 + F.try_divide(F.col("_before") - F.col("_level"), F.col("_before") - F.col("_v"))).alias("x"))))
     found = s.groupBy(*by).agg(x_left.alias("_l"), x_right.alias("_r"))
     return level.join(found, by, "left").select(*by, (0.5 * (F.col("_l.x") + F.col("_r.x"))).alias("centre"))
 
