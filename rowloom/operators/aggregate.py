@@ -23,6 +23,32 @@ def profile_contrast(profile: DataFrame, by: list[str]) -> DataFrame:
     return s.select(*by, (F.col("_q") / F.col("_n") - F.pow(F.col("_s") / F.col("_n"), 2)).alias("contrast"))
 
 
+#: Steps of a fixed grid. A value's rest after one is at most 2^31 of the next, so counts of steps add up in a long without rounding.
+GRID = (2.0**31, 1.0, 2.0**-32, 2.0**-64)
+
+
+def exact_means(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """by and the mean of a group's known doubles, rounded once: the same in whatever order rows come, and for copies of all of them, which
+    a mean that is compared with a threshold must be. One partial and one final aggregate, as a plain mean.
+
+    Each value is cut into whole multiples of four steps; their sums are long. The total is then two doubles, and the quotient is mended
+    by its remainder. Groups whose greatest absolute value is under 2^-12 or from 2^62 on (or none) have the plain mean."""
+    v, size = F.col("_v"), F.abs("_v")
+    cut = df.select(*by, F.col(value).cast("double").alias("_v")).withColumn("_x", F.when(size < 2.0**62, v))
+    for k, step in enumerate(GRID):
+        cut = cut.withColumn(f"_p{k}", F.rint(F.col("_x") / step)).withColumn("_x", F.col("_x") - F.col(f"_p{k}") * step)
+    s = cut.groupBy(*by).agg(*[F.sum(F.col(f"_p{k}").cast("long")).alias(f"_p{k}") for k in range(len(GRID))], F.count("_v").alias("_n"), F.max(size).alias("_size"), F.avg("_v").alias("_plain"))
+    low = 2**32 - 1
+    s = s.withColumn("_p2", F.col("_p2") + F.shiftright("_p3", 32)).withColumn("_p3", F.col("_p3").bitwiseAND(F.lit(low)))
+    s = s.withColumn("_p1", F.col("_p1") + F.shiftright("_p2", 32)).withColumn("_p2", F.col("_p2").bitwiseAND(F.lit(low)))
+    s = s.select(*by, F.when(F.col("_n") > 0, F.col("_n").cast("double")).alias("_n"), "_size", "_plain", (F.col("_p0") * GRID[0] + F.col("_p1")).alias("_whole"), (F.col("_p2") * GRID[2] + F.col("_p3") * GRID[3]).alias("_part"))
+    s = s.withColumn("_sum", F.col("_whole") + F.col("_part")).withColumn("_lost", F.col("_part") - (F.col("_sum") - F.col("_whole")))
+    # The quotient's upper half times the count is exact, and so is the lower's.
+    s = s.withColumn("_q", F.col("_sum") / F.col("_n")).withColumn("_t", F.col("_q") * (2.0**27 + 1)).withColumn("_up", F.col("_t") - (F.col("_t") - F.col("_q")))
+    rest = F.col("_sum") - F.col("_up") * F.col("_n") - (F.col("_q") - F.col("_up")) * F.col("_n") + F.col("_lost")
+    return s.select(*by, F.when((F.col("_size") >= 2.0**-12) & (F.col("_size") < 2.0**62), F.col("_q") + rest / F.col("_n")).otherwise(F.col("_plain")).alias(name))
+
+
 def fourier(df: DataFrame, by: list[str], position: str, value: str, period: Column, weight: Column | None = None) -> DataFrame:
     """by, amplitude, phase of one frequency: two weighted sums per group."""
     w = F.lit(1.0) if weight is None else weight

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rowloom.operators import aggregate as A
+
 PIXELS_PER_ROW = 21
 DAY0 = "2024-01-01"
 
@@ -40,7 +42,7 @@ PIXELS_SQL = """pixel AS (
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """row_id, i (day), v: the mean value of each user and day; every row has all days from its first to its last."""
     e = read(spark, sf_dir, "events").select(F.col("user_id").alias("row_id"), F.datediff("ts", F.lit(DAY0)).alias("i"), "value")
-    daily = e.groupBy("row_id", "i").agg(F.avg("value").alias("v"))
+    daily = A.exact_means(e, ["row_id", "i"], "value", "v")
     # Each day stands for itself and the empty days up to the next: one scan, and no join with a grid of days.
     nxt = F.lead("i").over(Window.partitionBy("row_id").orderBy("i"))
     days = daily.select("row_id", F.col("i").alias("_i"), "v", F.coalesce(nxt - 1, F.col("i")).alias("_to"))
