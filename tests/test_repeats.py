@@ -14,14 +14,18 @@ DAY0 = datetime(2024, 1, 1)
 COPIES = 60
 
 
+def write(spark, out, days):
+    rows = [(DAY0 + timedelta(days=i, hours=1), user, x) for user, all_ in days.items() for i, values in enumerate(all_) for x in values]
+    spark.createDataFrame(rows * COPIES, "ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{out}/events.parquet")
+
+
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     """Events of two users. User 1's means are 45, 44, 50, 45, 45 and 20, by three values or more a day but the last; plain sums of their copies
     aren't. User 2's are 43 and 45 in turn."""
     days = {1: [[44.31, 44.93, 45.76], [43.9, 44.0, 44.1], [49.9, 50.0, 50.1], [44.7, 45.0, 45.3], [44.9, 44.95, 45.15], [20.0]], 2: [[42.7, 43.0, 43.3], [44.31, 44.93, 45.76]] * 6}
     out = str(tmp_path_factory.mktemp("repeats"))
-    rows = [(DAY0 + timedelta(days=i, hours=1), user, x) for user, all_ in days.items() for i, values in enumerate(all_) for x in values]
-    spark.createDataFrame(rows * COPIES, "ts timestamp, user_id long, value double").coalesce(1).write.parquet(f"{out}/events.parquet")
+    write(spark, out, days)
     return out
 
 
@@ -48,3 +52,9 @@ def test_exact_means_are_rounded_once(spark):
 def test_gap_fill_of_copies(spark, folder):
     got = sorted((r.row_id, r.first, r.last, r.n) for r in registry.QUERIES["gap_fill"](spark, folder).collect())
     assert got == [(1, 1, 1, 1), (1, 5, 5, 1), (2, 0, 10, 6)]
+
+
+def test_sign_alternation_of_copies(spark, tmp_path):
+    # Means are 45 and 43 in turn, so each step is large.
+    write(spark, tmp_path, {1: [[44.99, 44.9, 45.11], [43.0]] * 6})
+    assert [tuple(r) for r in registry.QUERIES["sign_alternation"](spark, str(tmp_path)).collect()] == [(1, 11, 1.0, 1.0)]
