@@ -58,3 +58,9 @@ def test_sign_alternation_of_copies(spark, tmp_path):
     # Means are 45 and 43 in turn, so each step is large.
     write(spark, tmp_path, {1: [[44.99, 44.9, 45.11], [43.0]] * 6})
     assert [tuple(r) for r in registry.QUERIES["sign_alternation"](spark, str(tmp_path)).collect()] == [(1, 11, 1.0, 1.0)]
+
+
+def test_band_centre_of_copies(spark, folder):
+    # A mean of 45 is not over 45: user 1 has one day that is, and the days 0 and 3 of the band.
+    got = sorted((r.row_id, r.own, r.band, r.moved) for r in registry.QUERIES["band_centre"](spark, folder).collect())
+    assert got == [(1, 1, 3, True), (2, 0, 4, True)]
