@@ -64,3 +64,8 @@ def test_band_centre_of_copies(spark, folder):
     # A mean of 45 is not over 45: user 1 has one day that is, and the days 0 and 3 of the band.
     got = sorted((r.row_id, r.own, r.band, r.moved) for r in registry.QUERIES["band_centre"](spark, folder).collect())
     assert got == [(1, 1, 3, True), (2, 0, 4, True)]
+
+
+def test_islands_of_copies(spark, folder):
+    got = sorted((r.row_id, r.first, r.last, r.n) for r in registry.QUERIES["islands"](spark, folder).collect())
+    assert got == [(1, 1, 1, 1), (1, 5, 5, 1)] + [(2, i, i, 1) for i in range(0, 12, 2)]
