@@ -69,3 +69,9 @@ def test_band_centre_of_copies(spark, folder):
 def test_islands_of_copies(spark, folder):
     got = sorted((r.row_id, r.first, r.last, r.n) for r in registry.QUERIES["islands"](spark, folder).collect())
     assert got == [(1, 1, 1, 1), (1, 5, 5, 1)] + [(2, i, i, 1) for i in range(0, 12, 2)]
+
+
+def test_row_failures_of_copies(spark, tmp_path):
+    # The levels are 40 and 50, so days with a mean of 45 are at a half, not under it.
+    write(spark, tmp_path, {1: [[50.0]] * 3 + [[44.99, 44.9, 45.11]] * 10 + [[50.0]] * 3 + [[40.0]] * 5})
+    assert [tuple(r) for r in registry.QUERIES["row_failures"](spark, str(tmp_path)).collect()] == [(1, 16, 20, 5, 0.0, 1)]
