@@ -24,9 +24,9 @@ columns are not read. A set is known by two 64-bit hashes, a document by its id
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +44,8 @@ PLAUSIBLE = SIMILAR - 5 * (SIMILAR * (1 - SIMILAR) / K) ** 0.5
 BLOCK = 256
 #: Plausible pairs for each row of a pair of blocks that are written out; where there are more, they are checked in place.
 DENSE = 8
+#: Pairs of several groups that are written together.
+PAIRS = 1 << 16
 #: Characters of the texts that are signed together.
 GROUP = 1 << 19
 BROADCAST_ROWS = 500_000
@@ -162,64 +164,92 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of each group (bucket, lo, hi) of consecutive rows, one frame per group."""
-    held: list[pd.DataFrame] = []
-    last = None
-    for pdf in batches:
-        key = pdf["bucket"].astype(str) + "/" + pdf["lo"].astype(str) + "/" + pdf["hi"].astype(str)
-        for _, rows in pdf.groupby((key != key.shift()).cumsum()):
-            now = key[rows.index[0]]
-            if held and now != last:
-                yield pd.concat(held)
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each group (bucket, lo, hi) of consecutive rows, one per node, as an array per column. A batch is turned into arrays once,
+    as most groups have few rows."""
+    held: list[dict[str, np.ndarray]] = []
+
+    def whole() -> dict[str, np.ndarray]:
+        rows = held[0] if len(held) == 1 else {c: np.concatenate([part[c] for part in held]) for c in held[0]}
+        first = np.unique(rows["node"], return_index=True)[1]
+        return rows if len(first) == len(rows["node"]) else {c: x[np.sort(first)] for c, x in rows.items()}
+
+    for batch in batches:
+        n = batch.num_rows
+        columns = {c: batch.column(c).to_numpy() for c in ("bucket", "lo", "hi", "node", "comp", "block")}
+        columns["bands"] = batch.column("buckets").flatten().to_numpy().reshape(n, BANDS)
+        columns["values"] = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(n, K)
+        if "elements" in batch.schema.names:
+            at, flat = batch.column("elements").offsets.to_numpy(), batch.column("elements").values.to_numpy()
+            columns["elements"] = np.empty(n, object)
+            columns["elements"][:] = [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+        key = np.stack([columns[c].astype(np.int64) for c in ("bucket", "lo", "hi")], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), n] if n else []
+        for i, j in pairwise(cuts):
+            part = {c: x[i:j] for c, x in columns.items()}
+            if held and any(held[-1][c][0] != part[c][0] for c in ("bucket", "lo", "hi")):
+                yield whole()
                 held = []
-            held.append(rows)
-            last = now
+            held.append(part)
     if held:
-        yield pd.concat(held)
-
-
-def _plausible(rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, others after i) of the rows of a group whose signatures agree well enough, for which this bucket is the first that they share.
-    Of a group of two blocks only pairs across them."""
-    bucket, block = int(rows["bucket"].iloc[0]), rows["block"].to_numpy()
-    one = bool((rows["lo"] == rows["hi"]).all())
-    bands = np.array(rows["buckets"].tolist(), np.int64)
-    values = np.frombuffer(b"".join(rows["signature"]), np.uint32).reshape(len(rows), K)
-    for i in range(len(rows) - 1):
-        rest = np.arange(i + 1, len(rows))
-        if not one:
-            rest = rest[block[rest] != block[i]]
-        rest = rest[(values[rest] == values[i]).sum(1) >= PLAUSIBLE * K]
+        yield whole()
+
+
+def _plausible(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, others) of the rows of a group, of other components, whose signatures agree well enough and for which this bucket is the first that
+    they share. Of a group of two blocks only pairs across them. Each pair once."""
+    bucket, block, comp, bands, n = rows["bucket"][0], rows["block"], rows["comp"], rows["bands"], len(rows["node"])
+    within = rows["lo"][0] == rows["hi"][0]
+    order = np.arange(n) if within else np.argsort(block, kind="stable")
+    # One value of all rows is a line, so lines are compared and added up; the sums are K at most and fit in a byte.
+    values = np.ascontiguousarray(rows["values"][order].T)
+    split = n - 1 if within else int((block == block[order[0]]).sum())
+    for k in range(split):
+        after, i = k + 1 if within else split, order[k]
+        agree = (values[:, after:] == values[:, k : k + 1]).view(np.uint8).sum(0, dtype=np.uint8)
+        rest = order[after + np.flatnonzero(agree >= PLAUSIBLE * K)]
+        rest = rest[comp[rest] != comp[i]]
         if len(rest):
             yield i, rest[bands[rest, (bands[rest] == bands[i]).argmax(1)] == bucket]
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Plausible pairs across components of each group; of a group with many of them a row without a pair instead."""
+    found: list[tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, bool]] = []
+    held = 0
+
+    def written() -> pa.RecordBatch:
+        n = [len(a) for _, a, _, _ in found]
+        group = [np.repeat([rows[c][0] for rows, _, _, _ in found], n) for c in ("bucket", "lo", "hi")]
+        a, b = (np.concatenate([x[k] for x in found]) for k in (1, 2))
+        return pa.RecordBatch.from_arrays([*map(pa.array, group), pa.array(a), pa.array(b), pa.array(np.repeat([dense for _, _, _, dense in found], n))], names=["bucket", "lo", "hi", "a", "b", "dense"])
+
     for rows in _keyed(batches):
-        rows = rows.drop_duplicates("node")
-        node, comp = rows["node"].to_numpy(), rows["comp"].to_numpy()
-        a, b, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        node, n = rows["node"], 0
+        a, b = [], []
         for i, rest in _plausible(rows):
-            rest = rest[comp[rest] != comp[i]]
             a.append(np.full(len(rest), node[i]))
             b.append(node[rest])
             n += len(rest)
-            if n > DENSE * len(rows):
+            if n > DENSE * len(node):
                 break
-        group = {c: int(rows[c].iloc[0]) for c in ("bucket", "lo", "hi")}
-        if n > DENSE * len(rows):
-            yield pd.DataFrame({**group, "a": [0], "b": [0], "dense": [True]})
-        else:
-            yield pd.DataFrame({**group, "a": np.concatenate(a), "b": np.concatenate(b), "dense": False})
-
-
-def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = {c: rows[c][:1].copy() for c in ("bucket", "lo", "hi")}
+        if n > DENSE * len(node):
+            found.append((key, np.zeros(1, np.int64), np.zeros(1, np.int64), True))
+        elif n:
+            found.append((key, np.concatenate(a), np.concatenate(b), False))
+        held += n
+        if held > PAIRS:
+            yield written()
+            found, held = [], 0
+    if found:
+        yield written()
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links across components in each group, whose rows have their sets; only those that join components."""
     for rows in _keyed(batches):
-        rows = rows.drop_duplicates("node")
-        node, comp, elements = rows["node"].to_numpy(), rows["comp"].tolist(), rows["elements"].tolist()
+        node, comp, elements = rows["node"], rows["comp"].tolist(), rows["elements"]
         root = {c: c for c in comp}
 
         def find(c):
@@ -238,7 +268,9 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         if common >= SIMILAR * (len(x) + len(y) - common):
                             root[a] = b
                             found.append((node[i], node[j]))
-        yield pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        if found:
+            a, b = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
 def _blocks(own: DataFrame) -> DataFrame:
@@ -291,12 +323,12 @@ def links(docs: DataFrame, signs: DataFrame) -> DataFrame:
     info = info.dropDuplicates(["node"])
     # Signatures alone go to the pairs of blocks; sets only to the few pairs that are left. A group of very many plausible
     # pairs is not written out in pairs: its rows get their sets, and pairs are checked in place.
-    found = stored(_dealt(rows, info).mapInPandas(_candidates, "bucket long, lo int, hi int, a long, b long, dense boolean"), "candidates")
+    found = stored(_dealt(rows, info).mapInArrow(_candidates, "bucket long, lo int, hi int, a long, b long, dense boolean"), "candidates")
     pairs = found.where("not dense").select("a", "b").distinct()
     more = verified(pairs, sets)
     dense = stored(found.where("dense").select("bucket", "lo", "hi").distinct(), "dense")
     if dense.limit(1).count():
-        more = more.union(_dealt(rows, info.join(sets, "node"), dense).mapInPandas(_across, "a long, b long"))
+        more = more.union(_dealt(rows, info.join(sets, "node"), dense).mapInArrow(_across, "a long, b long"))
     more = stored(more, "more")
     out = components(good.union(more)) if more.limit(1).count() else comps
     dropped(sets, rows, found, dense)
