@@ -30,6 +30,12 @@ def test_sign_alternation_of_few_values(spark, tmp_path, high, low, large):
     assert held(spark, tmp_path, "sign_alternation")["large"].tolist() == [large]
 
 
+def test_band_centre_of_few_values(spark, tmp_path):
+    # The exact mean is 45; that of the sums in the order of the file is more.
+    write(spark, tmp_path, {1: [[55.17, 78.25, 1.58]] * 6})
+    assert held(spark, tmp_path, "band_centre")["own"].tolist() == [6]
+
+
 def test_copies_of_many_stay_exact(spark, tmp_path):
     write(spark, tmp_path, {1: [[44.99, 44.9, 45.11] * 60, [43.0]] * 6})
     assert [tuple(r) for r in registry.QUERIES["sign_alternation"](spark, str(tmp_path)).collect()] == [(1, 11, 1.0, 1.0)]
