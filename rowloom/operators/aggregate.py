@@ -27,13 +27,22 @@ def profile_contrast(profile: DataFrame, by: list[str]) -> DataFrame:
 GRID = (2.0**31, 1.0, 2.0**-32, 2.0**-64)
 
 
-def exact_means(df: DataFrame, by: list[str], value: str, name: str, few: int = 0) -> DataFrame:
+def ordered_means(df: DataFrame, by: list[str], value: str, name: str, order: list[str], few: int) -> DataFrame:
+    """by and the mean of a group's known values, added one by one in their order, however the rows were split; groups of more than `few`
+    values, and those without any, are left out. No task is sent more than few + 1 rows of a group by another."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = df.where(F.col(value).isNotNull()).select(*by, F.row_number().over(w).alias("_k"), F.sum(F.col(value).cast("double")).over(w).alias("_sum")).where(F.col("_k") <= few + 1)
+    last = known.groupBy(*by).agg(F.max(F.struct("_k", "_sum")).alias("_last"))
+    return last.where(F.col("_last._k") <= few).select(*by, (F.col("_last._sum") / F.col("_last._k")).alias(name))
+
+
+def exact_means(df: DataFrame, by: list[str], value: str, name: str, few: int = 0, order: list[str] | None = None) -> DataFrame:
     """by and the mean of a group's known doubles, rounded once: the same in whatever order rows come, and for copies of all of them, which
     a mean that is compared with a threshold must be. One partial and one final aggregate, as a plain mean.
 
     Each value is cut into whole multiples of four steps; their sums are long. The total is then two doubles, and the quotient is mended
     by its remainder. Groups whose greatest absolute value is under 2^-12 or from 2^62 on (or none), and those of `few` values or less, have
-    the plain mean."""
+    the plain mean; with an order the latter have that of their values added in it (`ordered_means`)."""
     v, size = F.col("_v"), F.abs("_v")
     cut = df.select(*by, F.col(value).cast("double").alias("_v")).withColumn("_x", F.when(size < 2.0**62, v))
     for k, step in enumerate(GRID):
@@ -47,7 +56,10 @@ def exact_means(df: DataFrame, by: list[str], value: str, name: str, few: int =
     # The quotient's upper half times the count is exact, and so is the lower's.
     s = s.withColumn("_q", F.col("_sum") / F.col("_n")).withColumn("_t", F.col("_q") * (2.0**27 + 1)).withColumn("_up", F.col("_t") - (F.col("_t") - F.col("_q")))
     rest = F.col("_sum") - F.col("_up") * F.col("_n") - (F.col("_q") - F.col("_up")) * F.col("_n") + F.col("_lost")
-    return s.select(*by, F.when((F.col("_n") > few) & (F.col("_size") >= 2.0**-12) & (F.col("_size") < 2.0**62), F.col("_q") + rest / F.col("_n")).otherwise(F.col("_plain")).alias(name))
+    mean = F.when((F.col("_n") > few) & (F.col("_size") >= 2.0**-12) & (F.col("_size") < 2.0**62), F.col("_q") + rest / F.col("_n")).otherwise(F.col("_plain"))
+    if order is None:
+        return s.select(*by, mean.alias(name))
+    return s.where(F.col("_n").isNull() | (F.col("_n") > few)).select(*by, mean.alias(name)).unionByName(ordered_means(df, by, value, name, order, few))
 
 
 def fourier(df: DataFrame, by: list[str], position: str, value: str, period: Column, weight: Column | None = None) -> DataFrame:
