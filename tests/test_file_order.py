@@ -32,6 +32,10 @@ def test_band_centre_in_file_order(spark, tmp_path):
     assert held(spark, tmp_path, "band_centre", [MORE] * 6)["own"].tolist() == [0]
 
 
+def test_islands_in_file_order(spark, tmp_path):
+    assert held(spark, tmp_path, "islands", [LESS] * 6 + [[44.0]])[["first", "last"]].values.tolist() == [[6, 6]]
+
+
 @pytest.mark.parametrize("few", [2, 3])
 def test_ordered_means(spark, few):
     rows = [(None, 2, 69.18), (None, 1, 4.52), (None, 3, 61.3), (1, 1, 7.0), (1, 2, None), (2, 1, None)]
