@@ -36,6 +36,11 @@ def test_islands_in_file_order(spark, tmp_path):
     assert held(spark, tmp_path, "islands", [LESS] * 6 + [[44.0]])[["first", "last"]].values.tolist() == [[6, 6]]
 
 
+def test_row_failures_in_file_order(spark, tmp_path):
+    # The levels are 40 and 50, so days with a mean of 45 are at a half, not under it.
+    assert held(spark, tmp_path, "row_failures", [[50.0]] * 3 + [LESS] * 10 + [[50.0]] * 3 + [[40.0]] * 5)[["first", "last"]].values.tolist() == [[16, 20]]
+
+
 @pytest.mark.parametrize("few", [2, 3])
 def test_ordered_means(spark, few):
     rows = [(None, 2, 69.18), (None, 1, 4.52), (None, 3, 61.3), (1, 1, 7.0), (1, 2, None), (2, 1, None)]
