@@ -41,3 +41,8 @@ def test_interval_union_of_equal_intervals(spark, folder):
     out, spans = folder
     pieces = [(200.0 * k + 7, 200.0 * k + 97) for k in range(13)]
     assert got(spark, "interval_union", out, "a", "b", "n") == union(spans + pieces, 0)
+
+
+def test_merge_intervals_of_equal_intervals(spark, folder):
+    out, spans = folder
+    assert got(spark, "merge_intervals", out, "a", "b", "n") == union(spans, 1)
