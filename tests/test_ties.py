@@ -46,3 +46,8 @@ def test_interval_union_of_equal_intervals(spark, folder):
 def test_merge_intervals_of_equal_intervals(spark, folder):
     out, spans = folder
     assert got(spark, "merge_intervals", out, "a", "b", "n") == union(spans, 1)
+
+
+def test_plant_sequences_of_equal_intervals(spark, folder):
+    out, spans = folder
+    assert got(spark, "plant_sequences", out, "a", "b") == [(a, b) for a, b, _ in union(spans, 2.4 * 4) if b - a >= 12] == [(140.0, 153.0)]
